@@ -19,6 +19,7 @@ def local_session(cpus: int | str = 8, app: str = "staylens") -> SparkSession:
         .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000")
         .config("spark.driver.memory", os.environ.get("STAYLENS_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.warehouse.dir", tempfile.gettempdir() + "/staylens-warehouse")
         .getOrCreate()
     )

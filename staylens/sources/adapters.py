@@ -10,6 +10,23 @@ from pyspark.sql import functions as F
 from staylens.functions import metrics as X
 
 
+# Words of the synthetic listing cards.
+GENITIVE = (
+    "января", "февраля", "марта", "апреля", "мая", "июня",
+    "июля", "августа", "сентября", "октября", "ноября", "декабря",
+)
+LISTING_WORDS = ("Концерт", "Фестиваль", "Выставка", "Спектакль", "Матч", "Экскурсия", "Открытие", "Встреча с")
+AGE_TEXTS = ("12+", "для детей 6 + и взрослых", "0+", "45+", "без ограничений")
+AGE_RANGES = ("6-12", "0", "18+", "16-")
+PLACES = (
+    "г. Иркутск, ул. Карла Маркса, 1", "Листвянка, Музей Байкала", "Москва", "Москва — Иркутск", "не могут указать",
+    "-", " Хужир 5 мая ", "ул",
+)
+TIME_TEXTS = ("18:00", "7:05", "18:00:30", "вечером", " 19:30 ", "25:00")
+SCHEMA_TYPES = ("MusicEvent", "TheaterEvent", "Place", "SportsEvent", "Festival")
+DISTRICT_TEXTS = ("Иркутский район", "хужир", "Ольхонский", "слюдян", "Марс", "-")
+
+
 class Tables:
     """Lazy access to the tables of one data folder. Each property is a plan; nothing runs or is cached here."""
 
@@ -148,6 +165,57 @@ class Tables:
             F.element_at(code, (F.col("b") % 9 + 1).cast("int")).alias("weather_code"),
         )
 
+    @cached_property
+    def listing(self) -> DataFrame:
+        """Raw event listings: one noisy Russian card per order, so that the text functions have text to read."""
+        k = F.col("o_orderkey")
+        joined = self.raw("orders").join(self.raw("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        day = F.to_date("o_orderdate")
+        d, m, y = F.dayofmonth(day), F.month(day), F.year(day)
+        txt = lambda c: c.cast("string")
+        two = lambda c: F.lpad(txt(c), 2, "0")
+        month = F.element_at(F.array(*[F.lit(x) for x in GENITIVE]), m)
+        month_after = F.element_at(F.array(*[F.lit(x) for x in GENITIVE]), m % 12 + 1)
+        pick = lambda words, n: F.element_at(F.array(*[F.lit(w) for w in words]), (k % n + 1).cast("int"))
+        n = txt(F.floor(F.col("o_totalprice") / 100).cast("int"))
+        sp = F.lit(" ")
+        return joined.select(
+            "o_orderkey",
+            day.alias("posted"),
+            F.col("o_orderstatus").alias("source"),
+            F.concat(
+                pick(LISTING_WORDS, 8), F.lit(" «"), F.col("c_mktsegment"), F.lit("»"),
+                F.when(k % 9 == 0, " — реклама").when(k % 11 == 0, " подлежат обязательной сертификации").otherwise(""),
+                F.when(k % 5 == 0, "  (Дом Кино!)").otherwise(""),
+            ).alias("title"),
+            F.when(k % 3 != 0, F.concat(F.lit("<p>Для детей &amp; взрослых, "), F.col("c_name"), F.lit("</p>"))).alias("description"),
+            F.when(k % 4 == 0, F.concat(txt(d), sp, month, sp, txt(y)))
+            .when(k % 4 == 1, F.concat(two(d), F.lit("."), two(m), F.lit("."), txt(y)))
+            .when(k % 4 == 2, F.concat(txt(d), sp, month))
+            .otherwise(F.concat(two(d), F.lit("."), two(m), F.lit("."), F.lpad(txt(y % 100), 2, "0"))).alias("date_text"),
+            F.when(k % 3 == 0, F.concat(txt(d), F.lit("-"), txt(d + 5), sp, month))
+            .when(k % 3 == 1, F.concat(F.lit("с "), txt(d), sp, month, F.lit(" по 7 "), month_after))
+            .otherwise("постоянно").alias("range_text"),
+            F.when(k % 5 == 0, F.concat(F.lit("от "), n, F.lit(" руб.")))
+            .when(k % 5 == 1, F.concat(F.lit("От "), n, F.lit("₽")))
+            .when(k % 5 == 2, "Бесплатно")
+            .when(k % 5 == 3, F.concat(F.lit("Билеты от "), n, F.lit(" р., дети 6+")))
+            .otherwise(F.concat(F.lit("1 "), F.right(n, F.lit(3)), F.lit(" рублей"))).alias("price_text"),
+            pick(AGE_TEXTS, 5).alias("age_text"),
+            pick(AGE_RANGES, 4).alias("age_range"),
+            F.when(k % 8 != 5, pick(PLACES, 8)).alias("place"),
+            pick(TIME_TEXTS, 6).alias("time_text"),
+            F.when(k % 4 == 0, F.date_format(day, "yyyy-MM-dd"))
+            .when(k % 4 == 1, txt(F.datediff(day, F.lit("1970-01-01").cast("date"))))
+            .when(k % 4 == 2, "скоро").alias("date_raw"),
+            F.when(k % 3 == 0, F.concat(F.lit("https://schema.org/"), pick(SCHEMA_TYPES, 5))).alias("schema_type"),
+            F.when(k % 6 != 5, pick(DISTRICT_TEXTS, 6)).alias("district_text"),
+            F.concat(
+                F.lit("connect postgres://bot:s3cret"), txt(k), F.lit("@db failed; password = p"), txt(k),
+                F.lit(" api-key=abc TOKEN=xyz "), F.col("c_name"),
+            ).alias("error_text"),
+        )
+
     # Reference dates, as scalar subqueries over the cheapest column that carries them.
     @cached_property
     def as_of(self) -> Column:
@@ -159,6 +227,14 @@ class Tables:
         return self.raw("orders").select(F.date_sub(F.to_date(F.max("o_orderdate")), 30)).scalar()
 
 
+def _words(words) -> str:
+    return "([" + ", ".join(f"'{w}'" for w in words) + "])"
+
+
+def _pick(words, n: int) -> str:
+    return f"{_words(words)}[k % {n} + 1]"
+
+
 # The same views as SQL; an oracle gets the ones it mentions as common table expressions.
 ORACLE_VIEWS = {
     "hotels": """
@@ -215,6 +291,30 @@ ORACLE_VIEWS = {
         FROM (SELECT CAST(o_orderdate AS DATE) AS date, CAST(sum(o_custkey) AS BIGINT) AS a,
                      CAST(sum(o_orderkey) AS BIGINT) AS b
               FROM orders GROUP BY CAST(o_orderdate AS DATE)) WHERE b % 10 <> 0""",
+    "listing": f"""
+        SELECT o_orderkey, day AS posted, o_orderstatus AS source,
+               {_pick(LISTING_WORDS, 8)} || ' «' || c_mktsegment || '»' ||
+               CASE WHEN k % 9 = 0 THEN ' — реклама' WHEN k % 11 = 0 THEN ' подлежат обязательной сертификации' ELSE '' END ||
+               CASE WHEN k % 5 = 0 THEN '  (Дом Кино!)' ELSE '' END AS title,
+               CASE WHEN k % 3 <> 0 THEN '<p>Для детей &amp; взрослых, ' || c_name || '</p>' END AS description,
+               CASE k % 4 WHEN 0 THEN d || ' ' || mon || ' ' || y WHEN 1 THEN lpad(d, 2, '0') || '.' || lpad(m, 2, '0') || '.' || y
+                    WHEN 2 THEN d || ' ' || mon ELSE lpad(d, 2, '0') || '.' || lpad(m, 2, '0') || '.' || right(y, 2) END AS date_text,
+               CASE k % 3 WHEN 0 THEN d || '-' || CAST(day(day) + 5 AS VARCHAR) || ' ' || mon
+                    WHEN 1 THEN 'с ' || d || ' ' || mon || ' по 7 ' || mon2 ELSE 'постоянно' END AS range_text,
+               CASE k % 5 WHEN 0 THEN 'от ' || n || ' руб.' WHEN 1 THEN 'От ' || n || '₽' WHEN 2 THEN 'Бесплатно'
+                    WHEN 3 THEN 'Билеты от ' || n || ' р., дети 6+' ELSE '1 ' || right(n, 3) || ' рублей' END AS price_text,
+               {_pick(AGE_TEXTS, 5)} AS age_text, {_pick(AGE_RANGES, 4)} AS age_range,
+               CASE WHEN k % 8 <> 5 THEN {_pick(PLACES, 8)} END AS place, {_pick(TIME_TEXTS, 6)} AS time_text,
+               CASE k % 4 WHEN 0 THEN strftime(day, '%Y-%m-%d') WHEN 1 THEN CAST(day - DATE '1970-01-01' AS VARCHAR)
+                    WHEN 2 THEN 'скоро' END AS date_raw,
+               CASE WHEN k % 3 = 0 THEN 'https://schema.org/' || {_pick(SCHEMA_TYPES, 5)} END AS schema_type,
+               CASE WHEN k % 6 <> 5 THEN {_pick(DISTRICT_TEXTS, 6)} END AS district_text,
+               'connect postgres://bot:s3cret' || k || '@db failed; password = p' || k || ' api-key=abc TOKEN=xyz ' || c_name AS error_text
+        FROM (SELECT *, CAST(o_orderdate AS DATE) AS day, o_orderkey AS k, CAST(day(o_orderdate) AS VARCHAR) AS d,
+                     CAST(month(o_orderdate) AS VARCHAR) AS m, CAST(year(o_orderdate) AS VARCHAR) AS y,
+                     {_words(GENITIVE)}[month(o_orderdate)] AS mon, {_words(GENITIVE)}[month(o_orderdate) % 12 + 1] AS mon2,
+                     CAST(CAST(floor(o_totalprice / 100) AS INTEGER) AS VARCHAR) AS n
+              FROM orders JOIN customer ON o_custkey = c_custkey)""",
     "as_of": "SELECT CAST(max(l_shipdate) AS DATE) AS today FROM lineitem",
     "event_today": "SELECT CAST(max(o_orderdate) AS DATE) - 30 AS today FROM orders",
 }
