@@ -214,9 +214,10 @@ KEY = r"left(trim(regexp_replace(regexp_replace(lower(title), '[^\p{L}\p{N}_\s]'
 
 @query("so04_exact_dedup", f"""WITH {WITH_D}, k AS (SELECT *, {KEY} AS title_key, {FILLED} AS score FROM ed),
     b AS (SELECT title_key, date_start, district, arg_min(event_id, lpad(CAST(9 - score AS VARCHAR), 2, '0') || event_id) AS event_id,
-      arg_min(source_id, lpad(CAST(9 - score AS VARCHAR), 2, '0') || event_id) AS source_id, list_sort(list_distinct(list(source_id))) AS all_sources
-      FROM k GROUP BY title_key, date_start, district)
-    SELECT event_id, district, title_key, array_to_string(list_filter(all_sources, s -> s <> source_id), ',') AS also_at FROM b""")
+      arg_min(source_id, lpad(CAST(9 - score AS VARCHAR), 2, '0') || event_id) AS source_id FROM k GROUP BY title_key, date_start, district),
+    o AS (SELECT b.event_id, string_agg(DISTINCT k.source_id, ',' ORDER BY k.source_id) AS also_at FROM b JOIN k ON k.title_key = b.title_key
+      AND k.date_start = b.date_start AND k.district = b.district AND k.source_id <> b.source_id GROUP BY b.event_id)
+    SELECT b.event_id, district, title_key, coalesce(also_at, '') AS also_at FROM b LEFT JOIN o ON o.event_id = b.event_id""")
 def _(t):
     return E.exact_dedup(located(t), F.col("district")).select("event_id", "district", "title_key", F.array_join("also_at", ",").alias("also_at"))
 
