@@ -12,13 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from staylens import model as M
 from staylens.functions.stats import student_quantile
-from staylens.operators.timeseries import day_number, episodes
+from staylens.operators.timeseries import episodes
+from staylens.session import materialise
 
 POOLED = "*"
 DOW = [f"d{i}" for i in range(1, 7)]
@@ -191,8 +192,8 @@ def placebo(rows: DataFrame, solved: DataFrame, rounds: int, seed: int = 2026081
 def event_effect(panel: DataFrame, event_days: DataFrame, rounds: int = M.PLACEBO_ROUNDS, seed: int = 20260810) -> DataFrame:
     """ML-19: estimate per district and pooled (scope '*'), with the number of independent episodes. Below ten episodes
     the effect is not identifiable and its numbers are withheld."""
-    rows = demeaned(informative_cells(panel, event_days))
-    solved = solve(normal_equations(rows))
+    rows = materialise(demeaned(informative_cells(panel, event_days)))
+    solved = materialise(solve(normal_equations(rows)))
     runs = episodes(rows.select("district", "date", "is_event"))
     runs = _scopes(runs).groupBy("scope").agg(F.sum("episodes").alias("n_episodes"))
     out = estimate(rows, solved).join(runs, "scope", "left")

@@ -37,3 +37,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="staylens-ckpt-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
+
+
+def materialise(df):
+    """Cut the lineage of an intermediate result that several branches read: stored in the shared checkpoint folder, so
+    it outlives a lost executor and is not computed again per branch."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
