@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from staylens.session import ship_package
 from staylens.sources.adapters import ORACLE_VIEWS, Tables
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -66,6 +67,7 @@ def callable_for(name: str) -> Callable[[SparkSession, str], DataFrame]:
     fn = QUERIES[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
         return present(fn(Tables(spark, sf_dir)))
 
     run.__name__ = name

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -25,6 +26,19 @@ def local_session(cpus: int | str = 8, app: str = "staylens") -> SparkSession:
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so Python tasks import it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="staylens-"), "staylens"), "zip", root, "staylens")
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder shared by all executors, as the cluster names it; a local one only where the session has none."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
