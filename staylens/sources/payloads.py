@@ -155,10 +155,13 @@ WEATHER_SCHEMA = (
 def weather_days(payloads: DataFrame, column: str) -> DataFrame:
     """SRC-09: parallel arrays to one row per day; a missing mean is the middle of the extremes."""
     d = F.from_json(F.col(column), WEATHER_SCHEMA)["daily"]
+    # a list that the payload leaves out must not take the others with it
+    given = lambda name, kind="double": F.coalesce(d[name], F.array().cast(f"array<{kind}>"))
     zipped = F.arrays_zip(
-        d["time"].alias("date"), d["temperature_2m_max"].alias("temperature_max"),
-        d["temperature_2m_min"].alias("temperature_min"), d["temperature_2m_mean"].alias("mean"),
-        d["precipitation_sum"].alias("rain"), d["wind_speed_10m_max"].alias("wind"), d["weathercode"].alias("weather_code"),
+        d["time"].alias("date"), given("temperature_2m_max").alias("temperature_max"),
+        given("temperature_2m_min").alias("temperature_min"), given("temperature_2m_mean").alias("mean"),
+        given("precipitation_sum").alias("rain"), given("wind_speed_10m_max").alias("wind"),
+        given("weathercode", "int").alias("weather_code"),
     )
     rows = payloads.select(F.inline(zipped)).toDF("date", "temperature_max", "temperature_min", "mean", "rain", "wind", "weather_code")
     top = F.col("temperature_max")
