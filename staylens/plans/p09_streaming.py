@@ -69,7 +69,7 @@ def _(t):
 @query("sm04_rate_limit")
 def _(t):
     requests = J.file_stream(t.spark, t.folder, "events").select(
-        F.col("user_id").alias("key"), F.col("event_id").alias("request_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("ts"))
+        F.col("user_id").alias("key"), F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("event_time"))
     return stored(t, ST.rate_limit(requests, limit=2, period_seconds=7200.0), "limit")
 
 

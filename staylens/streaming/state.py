@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 HISTORY = 100
@@ -27,24 +28,27 @@ def allowed_instants(times: list[float], kept: list[float], limit: int, period:
     return out, kept
 
 
-def rate_limit(requests: DataFrame, limit: int = 10, period_seconds: float = 60.0) -> DataFrame:
-    """SM-04: allowed or refused per request; `requests` has key, request_id and ts (seconds, double). State of a key
-    that stays silent for the period is dropped."""
+def rate_limit(requests: DataFrame, limit: int = 10, period_seconds: float = 60.0, delay: str = "10 seconds") -> DataFrame:
+    """SM-04: allowed or refused per request; `requests` has key, request_id and event_time. The state of a key goes when
+    the watermark has passed its last request by the period."""
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         kept = list(state.get[0]) if state.exists else []
+        last = 0.0
         for pdf in batches:
             pdf = pdf.sort_values(["ts", "request_id"])
             decisions, kept = allowed_instants(pdf["ts"].tolist(), kept, limit, period_seconds)
+            last = max(last, float(pdf["ts"].iloc[-1]))
             yield pd.DataFrame({"key": key[0], "request_id": pdf["request_id"], "ts": pdf["ts"], "allowed": decisions})
         state.update((kept,))
-        state.setTimeoutDuration(int(period_seconds * 1000))
+        state.setTimeoutTimestamp(max(int((last + period_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
 
-    return requests.groupBy("key").applyInPandasWithState(
-        decide, "key long, request_id long, ts double, allowed boolean", "kept array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = requests.withWatermark("event_time", delay).withColumn("ts", F.unix_micros("event_time") / 1000000)
+    return timed.groupBy("key").applyInPandasWithState(
+        decide, "key long, request_id long, ts double, allowed boolean", "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def status_of(failures: int, last_count: int, runs: int) -> str:
