@@ -1,8 +1,8 @@
 """Aggregations over the hotel-day facts: district series, snapshots, segments, prices, seasonality.
 
 Facts are reduced by (district, date), (hotel) or (segment) with map-side partial aggregation before anything else
-touches them, so one district holding most of the rows still spreads over all scan tasks. The hotel registry is joined
-without a hint: Spark broadcasts it while it is below its size threshold and shuffles it beyond.
+touches them, so one district holding most of the rows still spreads over all scan tasks. The hotel registry carries a
+broadcast hint only when its source has counted it below a limit (`session.broadcast_up_to`); beyond, Spark shuffles it.
 """
 
 from __future__ import annotations
@@ -103,9 +103,10 @@ def district_period(
 ) -> DataFrame:
     """AG-07: aggregates of a period; rooms are per observation day, so a longer window does not multiply the stock.
 
-    The distinct days are counted from per-day partials, so the facts are shuffled once."""
+    Days are counted as a set, which is bounded by the length of the period; a second distinct count next to the one of
+    the hotels would copy every fact."""
     rows = with_hotel(stats.filter(F.col("date").between(date_from, date_to)), hotels, key)
-    days = F.nullif(F.count_distinct("date"), F.lit(0))
+    days = F.nullif(F.size(F.collect_set("date")), F.lit(0))
     return rows.groupBy(key).agg(
         X.weighted_occupancy().alias("avg_occupancy"),
         (F.sum("free_rooms_amount").cast("double") / days).alias("free_rooms"),

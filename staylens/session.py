@@ -7,6 +7,7 @@ import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def local_session(cpus: int | str = 8, app: str = "staylens") -> SparkSession:
@@ -53,6 +54,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+BROADCAST_ROWS = 1_000_000  # narrow registry rows, some tens of megabytes as a hash table
+
+
+def broadcast_up_to(df, counted, rows: int = BROADCAST_ROWS):
+    """Hint a broadcast when `counted`, the table that bounds the rows of `df`, is small; the count reads file footers
+    only. A larger side is left to Spark's own choice of join."""
+    return broadcast(df) if counted.count() <= rows else df
+
+
 def materialise(df):
     """Cut the lineage of an intermediate result that several branches read: stored in the shared checkpoint folder, so
     it outlives a lost executor and is not computed again per branch."""
