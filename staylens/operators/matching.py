@@ -21,11 +21,9 @@ MIN_OVERLAP = 0.64
 
 
 def letter_pairs(key: Column) -> Column:
-    """Letter pairs of every distinct token with its boundaries, numbered when they repeat, as text."""
-    tokens = F.array_distinct(F.split(key, " "))
-    grams = F.flatten(F.transform(tokens, lambda t: F.transform(
-        F.sequence(F.lit(1), F.length(t) + 1), lambda i: F.concat(F.lit("^"), t, F.lit("$")).substr(i, F.lit(2)))))
-    return F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i), lambda o: o == g)).cast("string")))
+    """Letter pairs of every distinct token with its boundaries, as text."""
+    padded = F.transform(F.array_distinct(F.split(key, " ")), lambda t: F.concat(F.lit("^"), t, F.lit("$")))
+    return F.flatten(F.transform(padded, lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: t.substr(i, F.lit(2)))))
 
 
 def fuzzy_pairs(titles: DataFrame, bucket: Sequence[str], key: str = "title_key") -> DataFrame:
@@ -35,19 +33,21 @@ def fuzzy_pairs(titles: DataFrame, bucket: Sequence[str], key: str = "title_key"
     match another that contains one of its rarest ones. The two sides meet on (bucket, letter pair), an equi-join that
     splits a crowded bucket over its letter pairs and that adaptive execution can split further; no bucket is gathered
     in one task and pairs without a rare letter pair in common never exist. Each candidate is then scored exactly."""
-    keys = titles.select(*bucket, key).distinct()
-    grams = keys.select(*bucket, key, F.explode(letter_pairs(F.col(key))).alias("g"))
-    freq = grams.groupBy(*bucket, "g").agg(F.count("*").alias("f"))
-    ranked = materialise(grams.join(freq.filter("f > 1"), [*bucket, "g"]))
+    keys = titles.select(*bucket, key).distinct().select(*bucket, key, F.inline(F.array(F.struct(letter_pairs(F.col(key)).alias("_g")))))
+    found = keys.select(*bucket, key, F.size("_g").alias("n"), F.explode("_g").alias("g"))
+    repeats = found.groupBy(*bucket, key, "n", "g").agg(F.count("*").alias("k"))
+    # a letter pair that repeats in a title is several different ones
+    grams = repeats.select(*bucket, key, "n", "g", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("j")).withColumn(
+        "g", F.concat("g", F.col("j").cast("string"))).drop("j")
+    freq = grams.groupBy(*bucket, "g").agg(F.count("*").alias("f")).filter("f > 1")
     # letter pairs that occur once cannot be shared; they use up prefix places without producing candidates
-    size = keys.withColumn("n", F.size(letter_pairs(F.col(key))))
-    alone = ranked.groupBy(*bucket, key).agg(F.count("*").alias("shared"))
-    counts = size.join(alone, [*bucket, key])
-    w = W.partitionBy(*bucket, key).orderBy("f", "g")  # one title's letter pairs, at most sixty
-    prefix_len = F.col("n") - F.ceil(F.col("n") * MIN_OVERLAP) + 1 - (F.col("n") - F.col("shared"))
-    prefix = ranked.join(counts, [*bucket, key]).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= prefix_len)
-    a = prefix.select(*bucket, "g", F.col(key).alias("a"), F.col("n").alias("na"))
-    b = ranked.join(counts, [*bucket, key]).select(*bucket, "g", F.col(key).alias("b"), F.col("n").alias("nb"))
+    w = W.partitionBy(*bucket, key)  # one title's letter pairs, at most sixty
+    ranked = grams.join(freq, [*bucket, "g"]).withColumns({
+        "rn": F.row_number().over(w.orderBy("f", "g")), "alone": F.col("n") - F.count("*").over(w)})
+    prefix_len = F.col("n") - F.ceil(F.col("n") * MIN_OVERLAP) + 1 - F.col("alone")
+    ranked = materialise(ranked.select(*bucket, "g", key, "n", (F.col("rn") <= prefix_len).alias("in_prefix")))
+    a = ranked.filter("in_prefix").select(*bucket, "g", F.col(key).alias("a"), F.col("n").alias("na"))
+    b = ranked.select(*bucket, "g", F.col(key).alias("b"), F.col("n").alias("nb"))
     pairs = a.join(b, [*bucket, "g"]).filter((F.col("a") != F.col("b")) & (F.col("na") <= F.col("nb")))
     pairs = pairs.select(*bucket, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.filter(token_set_ratio_column(F.col("a"), F.col("b")) > FUZZY_THRESHOLD)
@@ -77,6 +77,7 @@ def fuzzy_dedup(exact: DataFrame) -> DataFrame:
     Groups are the transitive closure of the alike relation, so the result does not depend on the order of the rows;
     the sources found by the exact pass are kept."""
     bucket = ["date_start", "district"]
+    exact = materialise(exact)
     named = exact.filter(F.coalesce("title_key", F.lit("")) != "")
     groups = connected_groups(fuzzy_pairs(named, bucket), bucket)
     labelled = named.join(groups.withColumnRenamed("node", "title_key"), [*bucket, "title_key"], "left").withColumn(
