@@ -35,11 +35,13 @@ def weighted_average(points: DataFrame, weights: DataFrame, default_weight: floa
     rows = points.join(weights.select("district", "model", "weight"), ["district", "model"], "left").withColumn(
         "w", F.coalesce("weight", F.lit(default_weight)))
     v, w = F.col("predicted_occupancy"), F.col("w")
-    agg = rows.groupBy("district", "forecast_date").agg(
-        (F.sum(v * w) / F.sum(w)).alias("m"), (F.sum(w * v * v) / F.sum(w)).alias("m2"),
+    day = W.partitionBy("district", "forecast_date")  # one row per model
+    centred = rows.withColumn("m", F.sum(v * w).over(day) / F.sum(w).over(day))
+    agg = centred.groupBy("district", "forecast_date").agg(
+        F.max("m").alias("m"), (F.sum(w * (v - F.col("m")) ** 2) / F.sum(w)).alias("variance"),
         (F.sum(w * (F.col("confidence_upper") - F.col("confidence_lower")) / 2) / F.sum(w)).alias("half"),
     )
-    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("m2") - F.col("m") * F.col("m")))
+    spread = F.sqrt("variance")
     band = F.col("half") + spread
     return agg.select(
         "district", "forecast_date", X.clip(F.col("m"), 0.0, 100.0).alias("occupancy"),

@@ -344,11 +344,10 @@ def _(t):
     m AS (SELECT district, forecast_date, sum(predicted_occupancy * w) / sum(w) AS m FROM p GROUP BY 1, 2),
     g AS (SELECT p.district, p.forecast_date, any_value(m) AS m, sqrt(sum(w * (predicted_occupancy - m) ** 2) / sum(w)) AS s, sum(w * (confidence_upper - confidence_lower) / 2) / sum(w) AS h
       FROM p JOIN m ON m.district = p.district AND m.forecast_date = p.forecast_date GROUP BY 1, 2)
-    SELECT district, CAST(forecast_date AS VARCHAR) AS forecast_date, round(least(100.0, greatest(0.0, m)), 4) AS occupancy, round(greatest(0.0, m - h - s), 4) AS lower_bound,
-    round(least(100.0, m + h + s), 4) AS upper_bound FROM g""")
+    SELECT district, CAST(forecast_date AS VARCHAR) AS forecast_date, round(least(100.0, greatest(0.0, m)), 6) AS occupancy, round(greatest(0.0, m - h - s), 6) AS lower_bound,
+    round(least(100.0, m + h + s), 6) AS upper_bound FROM g""")
 def _(t):
-    rows = C.weighted_average(t.forecasts, weights(t))
-    return rows.select("district", "forecast_date", *[F.round(c, 4).alias(c) for c in ("occupancy", "lower_bound", "upper_bound")])
+    return C.weighted_average(t.forecasts, weights(t))
 
 
 @query("ml07_best_model", f"""WITH b AS (SELECT district, arg_min(model, rmse) AS model FROM {WEIGHTS} GROUP BY district) SELECT f.district, f.model, CAST(forecast_date AS VARCHAR) AS forecast_date,
