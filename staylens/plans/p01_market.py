@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from staylens import model as M
 from staylens.functions import metrics as X
 from staylens.operators import market as K
 from staylens.plans.registry import query
@@ -41,7 +43,7 @@ MONTHS12 = f"""SELECT m.month, coalesce(occupancy, 0) AS occupancy, coalesce(avg
     LEFT JOIN (SELECT month, avg(avg_occupancy) AS occupancy, avg(coalesce(avg_price, 0)) AS avg_price,
                sum(days_count) AS samples FROM ({MONTHLY}) GROUP BY month) a ON a.month = m.month
     LEFT JOIN (SELECT month, sum(events_count) AS events FROM ({EVENT_MONTHS}) GROUP BY month) e ON e.month = m.month"""
-RU_MONTH = ("([" + ", ".join(f"'{m}'" for m in __import__('staylens.model', fromlist=['x']).MONTH_NAMES) + "])[month]")
+RU_MONTH = ("([" + ", ".join(f"'{m}'" for m in M.MONTH_NAMES) + "])[month]")
 SEASON = ("CASE WHEN month IN (12, 1, 2, 3) THEN 'winter' WHEN month IN (4, 5) THEN 'spring'"
           " WHEN month IN (6, 7, 8, 9) THEN 'summer' ELSE 'autumn' END")
 
@@ -134,8 +136,6 @@ def _(t):
 @query("st03_district_order", f"""SELECT district, CAST(row_number() OVER (ORDER BY avg_occupancy DESC NULLS LAST) AS INTEGER) AS place
     FROM ({PERIOD})""")
 def _(t):
-    from pyspark.sql.window import Window as W
-
     period = K.district_period(t.stats, t.hotels, since(t, 180), t.as_of)
     return period.select("district", F.row_number().over(
         W.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("avg_occupancy"))).alias("place"))
@@ -368,11 +368,10 @@ def _(t):
     return K.season_means(months(t))
 
 
-@query("ag21_district_table", f"""SELECT district, round(coalesce(avg_occupancy, 0), 6) AS occupancy, CAST(free_rooms AS DOUBLE) AS free_rooms,
-    CAST(total_rooms AS DOUBLE) AS total_rooms, round(coalesce(median_price, 0), 6) AS median_price, hotels_count,
+@query("ag21_district_table", f"""SELECT district, round(coalesce(avg_occupancy, 0), 6) AS occupancy, round(coalesce(free_rooms, 0), 6) AS free_rooms,
+    round(coalesce(total_rooms, 0), 6) AS total_rooms, round(coalesce(median_price, 0), 6) AS median_price, hotels_count,
     CASE WHEN hotels_count >= 10 THEN 'high' ELSE 'medium' END AS confidence
-    FROM ({PERIOD}) WHERE {IN_REGIONS} AND hotels_count >= 4""".replace("CAST(free_rooms AS DOUBLE)", "round(coalesce(free_rooms, 0), 6)")
-    .replace("CAST(total_rooms AS DOUBLE)", "round(coalesce(total_rooms, 0), 6)"))
+    FROM ({PERIOD}) WHERE {IN_REGIONS} AND hotels_count >= 4""")
 def _(t):
     return K.district_table(K.district_period(t.stats, t.hotels, since(t, 180), t.as_of), t.hotels, REGIONS)
 

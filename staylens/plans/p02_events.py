@@ -261,8 +261,6 @@ def _(t):
 
 
 # --- sinks as merged content ------------------------------------------------------------------------------------------
-CHANGED = """(SELECT id, date, rooms_num + 1 AS rooms_num, free_rooms_amount, available_rooms_percent, min_price, max_capacity, updated_at
-    FROM hotel_statistics WHERE day(date) = 15)"""
 
 
 @query("snk01_upsert_hotels", """WITH n AS (SELECT id, name || ' renamed' AS name, city, district, lat, lon, rating, min_price + 10 AS min_price,

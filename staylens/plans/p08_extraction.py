@@ -136,9 +136,6 @@ def _(t):
     return XT.graph_events(pages, "html", "source_event").drop("price_min", "age_restriction")
 
 
-STATE = "date_start, CASE WHEN CAST(event_id AS BIGINT) % 8 = 0 THEN NULL ELSE CAST(date_start AS VARCHAR) END AS start"
-
-
 def state_pages(t):
     k = F.col("event_id").cast("bigint")
     micro = F.to_json(F.struct(F.col("description").alias("text"), "url", F.struct(F.col("image_url").alias("url")).alias("image")))
@@ -161,7 +158,6 @@ def listing_pages(t):
     k = F.col("o_orderkey")
     date_line = F.concat(F.dayofmonth("posted").cast("string"), F.lit(" "), F.element_at(F.array(*[F.lit(m) for m in D.MONTHS_GENITIVE]), F.month("posted")), F.lit(", пт 19:00"))
     venue = F.when(k % 2 == 0, "Театр драмы").otherwise("во дворе")
-    lines = ["Афиша", "12+", "концерт", "title", "16+", None, "купить билет", None, "price"]
     parts = [F.lit("<div>Афиша</div><b>12+</b><i>концерт</i><h3>"), F.col("title"), F.lit("</h3><b>16+</b><p>"), date_line, F.lit("</p><a>купить билет</a><p>"), venue, F.lit("</p><p>"), F.col("price_text"), F.lit("</p>")]
     return t.listing.select("o_orderkey", F.concat(*parts).alias("html"))
 

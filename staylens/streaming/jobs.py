@@ -52,7 +52,7 @@ def ingest_statistics(snapshots: DataFrame, table: U.KeyedTable, order: str = "i
 def ingest_events(events: DataFrame, table: U.KeyedTable, order: str = "ingest_order", delay: str = "1 day"):
     """SM-02: event rows of many feeds. Repeats of an id within the watermark are dropped in state, then the batch is
     merged by (source, date, title): given values win, the id of the first insert stays."""
-    columns = [c.split()[0] for c in M.CAL_EVENTS.split(", ")] if isinstance(M.CAL_EVENTS, str) else []
+    columns = [c.split()[0] for c in M.CAL_EVENTS.split(", ")]
 
     def merge(batch: DataFrame, _: int) -> None:
         table.merge(batch, M.CAL_EVENTS, lambda old, new: U.merge_events(old.select(*columns), new, order))
