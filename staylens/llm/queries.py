@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import suffix_dedup
+import public_tokenizers
+
+from staylens.llm import byte_bpe, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +33,19 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def op4(spark, sf_dir):
     done = suffix_dedup.removal(documents(spark, sf_dir))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query("op6_byte_bpe")
+def op6(spark, sf_dir):
+    ids = byte_bpe.encode(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids")
+    done = byte_bpe.decode(ids, RANKS, public_tokenizers.PATTERN)
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op3_simhash")
+def op3(spark, sf_dir):
+    done = simhash.classes(documents(spark, sf_dir))
+    return done.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
