@@ -12,6 +12,7 @@ of a third of all rows costs its block one entry per bundle.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,8 +27,24 @@ MESSAGE = "block int, bundle int, blob binary"
 U64 = np.uint64
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXTS_PER_BATCH = 500
+
+
+def trim() -> None:
+    """Give freed memory back to the system between the groups of a task, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
 def prepare(df: DataFrame) -> DataFrame:
-    ship_package(df.sparkSession)
+    """Send the package to the executors, and bound the texts that a task holds as one Arrow batch."""
+    spark = df.sparkSession
+    ship_package(spark)
+    if int(spark.conf.get(ARROW_ROWS, "10000")) > TEXTS_PER_BATCH:
+        spark.conf.set(ARROW_ROWS, str(TEXTS_PER_BATCH))
     return df
 
 
@@ -196,6 +213,7 @@ def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
 
 def messages(rows: Iterable[tuple[int, int, bytes]]) -> pa.Table:
     rows = list(rows)
+    trim()
     return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "bundle": pa.array([r[1] for r in rows], pa.int32()), "blob": pa.array([r[2] for r in rows], pa.binary())})
 
 

@@ -1,7 +1,7 @@
 """Exact substring removal by suffix arrays.
 
 Every byte covered by a string of `width` bytes that also starts earlier (smaller id, or same id and earlier start) goes.
-Documents are dealt to shards of about a megabyte.
+Documents are dealt to shards of about half a megabyte.
 
 1. Per shard: a suffix array over all bytes by Larsson-Sadakane refinement (only groups that are still tied are sorted
    again, with doubled depth), Kasai's common prefixes between neighbours, and from them the strings that repeat inside
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from staylens.llm import common as C
 
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 GRAM = 40
 HOT_CONTEXTS = 2048
 RUNS = (np.int32, np.int64, np.int64)
@@ -249,7 +249,7 @@ def merge_sorted(runs: list[np.ndarray]) -> np.ndarray:
 def removal(docs: DataFrame, width: int = 100, id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The columns of `docs` and `n_bytes`, `n_removed`, `n_spans`, `spans` (byte ranges), `kept` (binary)."""
     dealt, shards = C.bundled(docs, shard_bytes, id, text)
-    blocks = max(1, shards // 2)
+    blocks = max(1, shards // 4)
 
     def local(table: pa.Table) -> pa.Table:
         bundle = table.column(C.BUNDLE)[0].as_py()
@@ -381,6 +381,7 @@ def removal(docs: DataFrame, width: int = 100, id: str = "doc_id", text: str = "
             spans.append([{"start": int(a), "end": int(b)} for a, b in zip(start, end)])
             removed.append(int((end - start).sum()))
             kept.append(shard.data[lo:hi][~own].tobytes())
+        C.trim()
         return C.replace_columns(
             shard.rows,
             n_bytes=pa.array(np.diff(shard.offsets), pa.int64()),
