@@ -334,37 +334,48 @@ def removal(docs: DataFrame, width: int = 100, id: str = "doc_id", text: str = "
         first, last, route = first[by], last[by], route[by]
         owner = np.searchsorted(shard.offsets, first, side="right") - 1
         for block, lo, hi in zip(*C.by_block(route, blocks)):
-            head = C.pack(shard.ids[owner[lo:hi]], owner[lo:hi].astype(np.int32), first[lo:hi] - shard.offsets[owner[lo:hi]], (last[lo:hi] - first[lo:hi]).astype(np.int32))
+            head = C.pack(route[lo:hi], shard.ids[owner[lo:hi]], owner[lo:hi].astype(np.int32), first[lo:hi] - shard.offsets[owner[lo:hi]], (last[lo:hi] - first[lo:hi]).astype(np.int32))
             out.append((int(block), bundle, head + b"".join(shard.data[i:j].tobytes() for i, j in zip(first[lo:hi], last[lo:hi]))))
         return C.messages(out)
 
     def compare(table: pa.Table) -> pa.Table:
+        """Texts of one anchor meet in one suffix array, of about a shard's size."""
         out, got, texts, bundles = [], [], [], []
         for _, bundle, blob in C.entries(table):
             if bundle < 0:
                 out.append((-1, -1 - bundle, blob))
                 continue
-            got.append(C.unpack(blob, np.int64, np.int32, np.int64, np.int32))
-            texts.append(blob[len(blob) - int(got[-1][3].sum()) :])
+            got.append(C.unpack(blob, np.uint64, np.int64, np.int32, np.int64, np.int32))
+            texts.append(blob[len(blob) - int(got[-1][4].sum()) :])
             bundles.append(np.full(len(got[-1][0]), bundle))
         if got:
-            doc, ordinal, at, size = (np.concatenate([g[i] for g in got]) for i in range(4))
-            owner = np.concatenate(bundles)
-            data = np.frombuffer(b"".join(texts) + bytes(2 * width), np.uint8)
-            offsets = np.append(0, np.cumsum(size)).astype(np.int64)
+            route, doc, ordinal, at, size = (np.concatenate([g[i] for g in got]) for i in range(5))
+            joined, begins, owner = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum(size)), np.concatenate(bundles)
             rank = np.unique(doc, return_inverse=True)[1].astype(np.int64)
-            start = repeats(data, offsets, rank, at, width)
-            text_of = np.searchsorted(offsets, start, side="right") - 1
-            begin = at[text_of] + start - offsets[text_of]
-            order = np.lexsort((begin, ordinal[text_of], owner[text_of]))
-            text_of, begin = text_of[order], begin[order]
-            cut = np.flatnonzero(C.first_of_run(owner[text_of]))
-            for lo, hi in zip(cut, np.append(cut[1:], len(text_of))):
-                who, b = ordinal[text_of[lo:hi]], begin[lo:hi]
-                fresh = C.first_of_run(who) | C.first_of_run(b - np.arange(len(b)))  # consecutive starts are one run
-                head = np.flatnonzero(fresh)
+            order = np.argsort(route, kind="stable")
+            head = np.flatnonzero(C.first_of_run(route[order]))
+            part = np.append(0, np.cumsum(size[order], dtype=np.int64))[head] // shard_bytes
+            cut = head[C.first_of_run(part)]
+            who, start = [], []
+            for lo, hi in zip(cut, np.append(cut[1:], len(order))):
+                chosen = order[lo:hi]
+                offsets = np.append(0, np.cumsum(size[chosen], dtype=np.int64))
+                data = np.zeros(offsets[-1] + 2 * width, np.uint8)
+                data[: offsets[-1]] = joined[np.repeat(begins[chosen] - offsets[:-1], size[chosen]) + np.arange(offsets[-1])]
+                found = repeats(data, offsets, rank[chosen], at[chosen], width)
+                text_of = np.searchsorted(offsets, found, side="right") - 1
+                who.append(chosen[text_of])
+                start.append(at[chosen[text_of]] + found - offsets[text_of])
+            who, start = np.concatenate(who), np.concatenate(start)
+            by = np.lexsort((start, ordinal[who], owner[who]))
+            who, start = who[by], start[by]
+            cut = np.flatnonzero(C.first_of_run(owner[who]))
+            for lo, hi in zip(cut, np.append(cut[1:], len(who))):
+                text_of, b = ordinal[who[lo:hi]], start[lo:hi]
+                step = b - np.arange(len(b))
+                head = np.flatnonzero(C.first_of_run(text_of) | C.first_of_run(step))  # consecutive starts are one run
                 tail = np.append(head[1:], len(b)) - 1
-                out.append((-1, int(owner[text_of[lo]]), C.pack(who[head].astype(np.int32), b[head].astype(np.int64), b[tail].astype(np.int64) + width)))
+                out.append((-1, int(owner[who[lo]]), C.pack(text_of[head], b[head], b[tail] + width)))
         return C.messages(out)
 
     def finish(key, docs_table: pa.Table, replies: pa.Table) -> pa.Table:
