@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from staylens.llm import byte_bpe, fm_index, simhash, substring_dedup, suffix_dedup
+from staylens.llm import byte_bpe, fertility, fm_index, simhash, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,12 @@ def op7(spark, sf_dir):
 def op5(spark, sf_dir):
     done = substring_dedup.removal(documents(spark, sf_dir))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op2_fertility")
+def op2(spark, sf_dir):
+    found = fertility.verdicts(documents(spark, sf_dir, "doc_id", "text", "lang"), PIECES, RANKS, public_tokenizers.PATTERN)
+    return found.select("doc_id", *fertility.COUNTS, "base_failed", "kept", *fertility.MEASURES)
