@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from staylens.llm import byte_bpe, fertility, fm_index, simhash, substring_dedup, suffix_dedup
+from staylens.llm import binpack, byte_bpe, fertility, fm_index, simhash, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,9 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 def op2(spark, sf_dir):
     found = fertility.verdicts(documents(spark, sf_dir, "doc_id", "text", "lang"), PIECES, RANKS, public_tokenizers.PATTERN)
     return found.select("doc_id", *fertility.COUNTS, "base_failed", "kept", *fertility.MEASURES)
+
+
+@query("op10_binpack")
+def op10(spark, sf_dir):
+    done = binpack.shards(documents(spark, sf_dir), bins=16)
+    return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
