@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from staylens.llm import binpack, byte_bpe, fertility, fm_index, simhash, substring_dedup, suffix_dedup
+from staylens.llm import binpack, byte_bpe, fertility, fm_index, line_dedup, simhash, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,9 @@ def op2(spark, sf_dir):
 def op10(spark, sf_dir):
     done = binpack.shards(documents(spark, sf_dir), bins=16)
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op8_line_dedup")
+def op8(spark, sf_dir):
+    done = line_dedup.removal(documents(spark, sf_dir))
+    return done.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("text", 256).alias("kept_sha256"))
