@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from staylens.llm import binpack, byte_bpe, fertility, fm_index, line_dedup, simhash, substring_dedup, suffix_dedup
+from staylens.llm import binpack, byte_bpe, fertility, fm_index, line_dedup, simhash, substring_dedup, suffix_dedup, url_markov
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,12 @@ def op10(spark, sf_dir):
 def op8(spark, sf_dir):
     done = line_dedup.removal(documents(spark, sf_dir))
     return done.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("text", 256).alias("kept_sha256"))
+
+
+URL_RULES = [("org/", True), ("example.org/es/", False), ("example.org/en/1", False), ("com/fr/", True), ("com/de/", False)]
+
+
+@query("op1_url_markov")
+def op1(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_markov.judged(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
