@@ -13,8 +13,6 @@ A null text is empty and has no ids; an id outside the vocabulary decodes to no
 from __future__ import annotations
 
 import base64
-import functools
-import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -30,13 +28,6 @@ from staylens.llm import common as C
 CHUNK, OVERLAP, REMEMBERED = 1 << 15, 1 << 9, 200_000
 
 
-@functools.cache
-def unassigned() -> str:
-    """Code points without a category here, as ranges of a character class."""
-    there = np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)), bool)
-    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(*C.runs(there)))
-
-
 class Coder:
     """Ranks of a vocabulary and the pattern that cuts a text into pieces; remembers the ids of frequent pieces."""
 
@@ -49,8 +40,8 @@ class Coder:
         pairs = [x + bytes([b]) for x in (b"a", b"1", b"!") for b in range(0xC2, 0xF5)]
         probe = {t: i for i, t in enumerate([bytes([b]) for b in range(256)] + pairs)}
         self.probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=probe, special_tokens={})
-        self.open = regex.compile(f"[{unassigned()}]")
         self.stand_in: dict[int, str] = {}
+        self.settled: set[str] = set(map(chr, range(128)))
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -64,12 +55,16 @@ class Coder:
         return made
 
     def pieces(self, text: str) -> list[str]:
-        if text.isascii() or not self.open.search(text):
+        if text.isascii():
             return self.pattern.findall(text)
         # Unicode versions differ on code points assigned of late: let the encoder's own version say what they are
-        for c in set(self.open.findall(text)):
-            if ord(c) not in self.stand_in:
+        for c in set(text).difference(self.settled):
+            if unicodedata.category(c) != "Cn":
+                self.settled.add(c)
+            elif ord(c) not in self.stand_in:
                 self.stand_in[ord(c)] = next((x for x in "a1" if max(self.probe.encode_ordinary(x + c)) > 255), "!")
+        if not self.stand_in or not any(chr(c) in text for c in self.stand_in):
+            return self.pattern.findall(text)
         edge = starts(self.pattern.findall(text.translate(self.stand_in)), 0).tolist()
         return [text[i:j] for i, j in zip(edge, edge[1:])]
 
