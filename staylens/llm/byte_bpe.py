@@ -58,12 +58,13 @@ class Coder:
         if text.isascii():
             return self.pattern.findall(text)
         # Unicode versions differ on code points assigned of late: let the encoder's own version say what they are
-        for c in set(text).difference(self.settled):
+        there = set(text)
+        for c in there.difference(self.settled):
             if unicodedata.category(c) != "Cn":
                 self.settled.add(c)
             elif ord(c) not in self.stand_in:
                 self.stand_in[ord(c)] = next((x for x in "a1" if max(self.probe.encode_ordinary(x + c)) > 255), "!")
-        if not self.stand_in or not any(chr(c) in text for c in self.stand_in):
+        if there.issubset(self.settled):
             return self.pattern.findall(text)
         edge = starts(self.pattern.findall(text.translate(self.stand_in)), 0).tolist()
         return [text[i:j] for i, j in zip(edge, edge[1:])]
