@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from staylens.llm import binpack, byte_bpe, fertility, fm_index, line_dedup, simhash, substring_dedup, suffix_dedup, url_markov
+from staylens.llm import binpack, byte_bpe, fertility, fm_index, line_dedup, pii_lstm, simhash, substring_dedup, suffix_dedup, url_markov
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,11 @@ URL_RULES = [("org/", True), ("example.org/es/", False), ("example.org/en/1", Fa
 def op1(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return url_markov.judged(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query("op9_pii_lstm")
+def op9(spark, sf_dir):
+    done = pii_lstm.found(documents(spark, sf_dir)).select("doc_id", "base", "spans")
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return done.select("doc_id", *map(count, pii_lstm.KINDS), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
