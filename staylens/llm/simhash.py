@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staylens.llm import common as C
@@ -232,11 +232,21 @@ def links(prints: DataFrame, radius: int = 3, hot: int = HOT) -> DataFrame:
 
 
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The columns of `docs` except the text, `fingerprint` and `component`: the smallest id that is reachable by links."""
-    found = materialise(fingerprints(docs.drop("component"), text, shingle))
+    """The columns of `docs` except the text, `fingerprint`, `group` (a fingerprint that names the component) and `component`: the
+    smallest id that is reachable by links."""
+    found = materialise(fingerprints(docs.drop("component", "group"), text, shingle))
     prints = materialise(found.groupBy("fingerprint").agg(F.min(id).alias("least")))
     part = C.components(links(prints.select("fingerprint"), radius))
-    member = prints.join(part.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
-    least = member.groupBy("component").agg(F.min("least").alias("least"))
-    named = member.select("fingerprint", "component").join(least, "component").select("fingerprint", F.col("least").alias("component"))
-    return found.join(named, "fingerprint")
+    member = prints.join(part.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("group", F.coalesce("component", "fingerprint")).drop("component")
+    least = member.groupBy("group").agg(F.min("least").alias("component"))
+    return found.join(member.select("fingerprint", "group").join(least, "group"), "fingerprint")
+
+
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of `docs` without near duplicates: of each component the row with the smallest id (then hash of the text; rows
+    without an id last) stays, and once only if it is repeated."""
+    keyed = docs.withColumn("__id", F.coalesce(F.col(id).cast("bigint"), F.lit(2**63 - 1))).withColumn("__text", F.md5(F.coalesce(F.col(text), F.lit(""))))
+    found = classes(keyed.select(F.col("__id").alias("i"), F.col("__text").alias("h"), F.col(text).alias("text")), "i", "text", shingle, radius)
+    kept = found.groupBy("group").agg(F.min(F.struct("i", "h")).alias("k")).select(F.col("k.i").alias("__id"), F.col("k.h").alias("__text"))
+    again = Window.partitionBy("__id", "__text").orderBy(F.lit(0))
+    return keyed.join(kept, ["__id", "__text"]).withColumn("__n", F.row_number().over(again)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
