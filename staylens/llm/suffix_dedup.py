@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from staylens.llm import common as C
 
 SHARD_BYTES = 1 << 19
-GRAM = 40
 HOT_CONTEXTS = 2048
 RUNS = (np.int32, np.int64, np.int64)
 
@@ -190,6 +189,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tup
     return np.searchsorted(offsets, chosen, side="right") - 1, chosen, value[chosen]
 
 
+def gram_of(width: int) -> int:
+    """Length of anchors: long enough to be rare, short enough that few are needed."""
+    return max(1, 2 * width // 5)
+
+
 class Shard:
     """A bundle's texts and what it sends: recomputed alike in each pass."""
 
@@ -198,11 +202,11 @@ class Shard:
         self.data, self.offsets = C.flat(self.rows.column(text), 2 * width)
         ids = self.rows.column(id)
         self.ids = np.array([np.iinfo(np.int64).max if v is None else v for v in ids.to_pylist()], np.int64)
-        self.width = width
+        self.width, self.gram = width, gram_of(width)
 
     def entries(self):
         """Anchors of the shard by hash and context, one (the earliest) for each."""
-        text, at, value = anchors(self.data, self.offsets, self.width, GRAM)
+        text, at, value = anchors(self.data, self.offsets, self.width, self.gram)
         start, end = self.context(text, at)
         context = C.Rolling(self.data[: self.offsets[-1]], 0x2545F4914F6CDD1D)
         with np.errstate(over="ignore"):
@@ -213,7 +217,13 @@ class Shard:
 
     def context(self, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranges of all strings of `width` bytes that hold the anchor, inside its text."""
-        return np.maximum(self.offsets[text], at + GRAM - self.width), np.minimum(self.offsets[text + 1], at + self.width)
+        return np.maximum(self.offsets[text], at + self.gram - self.width), np.minimum(self.offsets[text + 1], at + self.width)
+
+    def marked(self, blobs: list[bytes]) -> np.ndarray:
+        """Bytes inside any of the runs."""
+        found = [C.unpack(blob, *RUNS) for blob in blobs]
+        t, lo, hi = (np.concatenate([np.zeros(0, k), *(f[i] for f in found)]) for i, k in enumerate(RUNS))
+        return C.covered(int(self.offsets[-1]), self.offsets[t] + lo, self.offsets[t] + hi)
 
     def split(self, mask: np.ndarray) -> bytes:
         """Runs of removed bytes as (ordinal, start, end); a run ends with its text."""
@@ -246,7 +256,7 @@ def merge_sorted(runs: list[np.ndarray]) -> np.ndarray:
     return level[0][1] if level else np.zeros(0, np.int64)
 
 
-def removal(docs: DataFrame, width: int = 100, id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def removal(docs: DataFrame, width: int = 100, id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """The columns of `docs` and `n_bytes`, `n_removed`, `n_spans`, `spans` (byte ranges), `kept` (binary)."""
     dealt, shards = C.bundled(docs, shard_bytes, id, text)
     blocks = max(1, shards // 4)
@@ -294,7 +304,7 @@ def removal(docs: DataFrame, width: int = 100, id: str = "doc_id", text: str = "
                 span = np.flatnonzero(new_value)
                 several = (contexts > 1) & (np.maximum.reduceat(source[order], span) > np.minimum.reduceat(source[order], span))
                 first = new_context & several[group]
-                status[order[first]] = np.where(contexts[group[first]] > HOT_CONTEXTS, 3, 2)
+                status[order[first]] = np.where(contexts[group[first]] > hot_contexts, 3, 2)
             cut = np.append(0, np.cumsum(sizes))
             for (block, bundle), lo, hi in zip(owner, cut, cut[1:]):
                 marked = lo + np.flatnonzero(status[lo:hi])
@@ -308,14 +318,8 @@ def removal(docs: DataFrame, width: int = 100, id: str = "doc_id", text: str = "
         bundle = key[0].as_py()
         shard = Shard(docs_table, width, id, text)
         n = int(shard.offsets[-1])
-        gone = np.zeros(n, bool)
-        marked = []
-        for block, _, blob in C.entries(replies):
-            if block < 0:
-                t, lo, hi = C.unpack(blob, *RUNS)
-                gone |= C.covered(n, shard.offsets[t] + lo, shard.offsets[t] + hi)
-            else:
-                marked.append(C.unpack(blob, np.uint8, np.int32, np.int64, np.uint64))
+        gone = shard.marked([blob for block, _, blob in C.entries(replies) if block < 0])
+        marked = [C.unpack(blob, np.uint8, np.int32, np.int64, np.uint64) for block, _, blob in C.entries(replies) if block >= 0]
         status, text_of, at, value = (np.concatenate([m[i] for m in marked]) if marked else np.zeros(0, t) for i, t in enumerate((np.uint8, np.int32, np.int64, np.uint64)))
         at = at + shard.offsets[text_of]
         start, end = shard.context(text_of, at)
@@ -380,11 +384,7 @@ def removal(docs: DataFrame, width: int = 100, id: str = "doc_id", text: str = "
 
     def finish(key, docs_table: pa.Table, replies: pa.Table) -> pa.Table:
         shard = Shard(docs_table, width, id, text)
-        n = int(shard.offsets[-1])
-        gone = np.zeros(n, bool)
-        for _, _, blob in C.entries(replies):
-            t, lo, hi = C.unpack(blob, *RUNS)
-            gone |= C.covered(n, shard.offsets[t] + lo, shard.offsets[t] + hi)
+        gone = shard.marked([blob for _, _, blob in C.entries(replies)])
         spans, kept, removed = [], [], []
         for lo, hi in zip(shard.offsets, shard.offsets[1:]):
             own = gone[lo:hi]
