@@ -142,7 +142,7 @@ def measured(docs: DataFrame, pieces: str, ranks: str, pattern: str, text: str =
         vocabularies = Vocabularies.of(shared)
         for batch in batches:
             found = measures(batch.column(text), vocabularies)
-            yield from C.replace_columns(pa.Table.from_batches([batch]), **{k: pa.array(found[k]) for k in types}).to_batches()
+            yield from C.replace_columns(pa.Table.from_batches([batch]), **{k: pa.array(found[k], pa.int64() if t == "bigint" else pa.float64()) for k, t in types.items()}).to_batches()
 
     return docs.mapInArrow(run, C.schema_with(docs, **types))
 

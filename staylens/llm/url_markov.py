@@ -147,10 +147,12 @@ def threshold(held: DataFrame, models: list[list[np.ndarray]]) -> float:
     at, good, bad = (np.array([r[i] for r in rows], float) for i in range(3))
     below_good, below_bad = np.append(0, np.cumsum(good)), np.append(0, np.cumsum(bad))
     value = (1 - below_good / max(good.sum(), 1)) + below_bad / max(bad.sum(), 1)
-    best = np.flatnonzero(value >= value.max() - 1e-12)  # a gap between the classes is split in the middle
-    edge = np.append(at, at[-1] + 1) * STEP
-    edge[0] = min(edge[0], edge[-1])
-    return float((edge[best[0]] + edge[best[-1]]) / 2) if value.max() > 1 else 0.0
+    if value.max() <= 1:
+        return 0.0
+    best = int(value.argmax())  # the first bin that is accepted; a gap before it is split in the middle
+    low = at[best - 1] + 1 if best else at[0]
+    high = at[best] if best < len(at) else at[-1] + 1
+    return float((low + high) / 2 * STEP)
 
 
 def judged(urls: DataFrame, rules: list[tuple[str, bool]], url: str = "url") -> DataFrame:
