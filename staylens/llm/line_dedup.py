@@ -168,8 +168,9 @@ def removal(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words:
         out = [(bundle % blocks, -1 - bundle, C.pack(late))] if len(late) else []
         key, line, position, cell = keyed(lines, late)
         wanted = [(np.uint64(block) << np.uint64(32)) | C.unpack(blob, np.uint32)[0].astype(np.uint64) for block, _, blob in C.entries(replies) if block >= 0]
-        ordered = np.sort(cell)
-        wanted = np.unique(np.concatenate([ordered[1:][ordered[1:] == ordered[:-1]], *wanted]))
+        order = np.lexsort((line, cell))
+        own = cell[order[C.first_of_run(cell[order]) | C.first_of_run(line[order])]]  # once for each line
+        wanted = np.unique(np.concatenate([own[1:][own[1:] == own[:-1]], *wanted]))
         if not len(wanted):
             return C.messages(out)
         at = np.minimum(np.searchsorted(wanted, cell), len(wanted) - 1)
@@ -181,11 +182,11 @@ def removal(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words:
         size = np.diff(np.append(head, len(key)))
         for block, lo, hi in zip(*C.by_block(key[head], blocks)):
             h, s = head[lo:hi], size[lo:hi]
-            texts = [lines.text(i) for i in line[h]]
+            leads, which = np.unique(line[h], return_inverse=True)  # a line with many of the keys sends its text once
+            texts = [lines.text(i) for i in leads]
             members = line[h[0] : h[-1] + s[-1]].astype(np.int32)
-            lengths = np.array([len(t) for t in texts], np.int32)
-            top = C.pack(key[h], position[h].astype(np.int32), lines.doc[line[h]], lines.number[line[h]].astype(np.int32), s.astype(np.int32), lengths)
-            out.append((int(block), bundle, top + C.pack(members) + b"".join(texts)))
+            top = C.pack(key[h], position[h].astype(np.int32), lines.doc[line[h]], lines.number[line[h]].astype(np.int32), s.astype(np.int32), which.astype(np.int32))
+            out.append((int(block), bundle, top + C.pack(members) + C.pack(np.array([len(t) for t in texts], np.int32)) + b"".join(texts)))
         return C.messages(out)
 
     def neighbours(table: pa.Table) -> pa.Table:
@@ -200,22 +201,26 @@ def removal(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words:
             at = 4 + 32 * len(top[0])
             members = C.unpack(blob[at:], np.int32)[0]
             at += 4 + 4 * len(members)
-            edge = np.append(0, np.cumsum(top[5]))
+            lengths = C.unpack(blob[at:], np.int32)[0]
+            at += 4 + 4 * len(lengths)
+            edge = np.append(0, np.cumsum(lengths))
+            top[5] = top[5] + len(texts)
             texts += [blob[at + a : at + b] for a, b in zip(edge, edge[1:])]
             edge = np.append(0, np.cumsum(top[4]))
             member += [members[a:b] for a, b in zip(edge, edge[1:])]
             got.append((*top, np.full(len(top[0]), bundle)))
         if not got:
             return C.messages(out)
-        key, position, doc, number, size, _, bundle = (np.concatenate([g[i] for g in got]) for i in range(7))
+        key, position, doc, number, size, text_of, bundle = (np.concatenate([g[i] for g in got]) for i in range(7))
         order = np.lexsort((number, doc, position, key))
         new = C.first_of_run(key[order])
         head = np.flatnonzero(new)
         length = np.diff(np.append(head, len(order)))
-        replies: dict[int, list] = {}
+        replies: dict[int, dict[int, tuple[int, list]]] = {}  # for each bundle and text of a neighbour, the lines near it
 
         def tell(entry: int, partner: int) -> None:
-            replies.setdefault(int(bundle[entry]), []).append((member[entry], int(doc[partner]), int(number[partner]), texts[partner]))
+            near = replies.setdefault(int(bundle[entry]), {}).setdefault(int(text_of[partner]), (partner, []))
+            near[1].append(member[entry])
 
         place = lambda e: (doc[e], number[e])
         for lo, n in zip(head, length):
@@ -240,9 +245,11 @@ def removal(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words:
                 if whole and place(whole[0]) < place(e):
                     tell(e, whole[0])
         for b, found in replies.items():
-            lengths = [len(x[0]) for x in found]
-            top = C.pack(np.array(lengths, np.int32), np.array([x[1] for x in found], np.int64), np.array([x[2] for x in found], np.int32), np.array([len(x[3]) for x in found], np.int32))
-            out.append((0, b, top + C.pack(np.concatenate([x[0] for x in found])) + b"".join(x[3] for x in found)))
+            lead = np.array([e for e, _ in found.values()])
+            near = [np.unique(np.concatenate(m)) for _, m in found.values()]
+            sent = [texts[i] for i in found]
+            top = C.pack(np.array([len(m) for m in near], np.int32), doc[lead], number[lead], np.array([len(x) for x in sent], np.int32))
+            out.append((0, b, top + C.pack(np.concatenate(near)) + b"".join(sent)))
         return C.messages(out)
 
     def finish(key_, docs_table: pa.Table, replies: pa.Table) -> pa.Table:

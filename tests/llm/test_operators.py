@@ -177,6 +177,7 @@ def test_line_edits(spark):
     base = "the quick brown fox jumps over the lazy dog again today".split()
     made = [base, base[:4] + base[5:], base[:3] + ["cat"] + base[4:], base + ["now"], base[:2] + ["a", "b"] + base[4:], base[::-1]]
     made += [base[:7] + [f"n{i}"] + base[8:] for i in range(40)]  # a template that many lines share
+    made += [["th"] * 400, ["th"] * 401, ["th"] * 200 + ["x"] + ["th"] * 199, ["a", "a"] + base, ["a", "c"] + base]  # runs of one word
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string")
     gone = {r.doc_id for r in line_dedup.removal(df, bundle_bytes=300).collect() if r.n_near}
     assert gone == {i for i, w in enumerate(made) if any(distance(w, v) == 1 for v in made[:i])}
