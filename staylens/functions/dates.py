@@ -68,7 +68,7 @@ def russian_range(text: str | Column, today: Column) -> tuple[Column, Column]:
 
 # --- fixed values: relative phrases in the order they are tried, as days from the post date or the next weekday ------
 RELATIVE_DAYS = {"послезавтра": 2, "завтра": 1, "через неделю": 7, "через 2 дня": 2, "через два дня": 2,
-                 "через три дня": 3, "на следующей неделе": 7, "сегодня": 0}
+                 "через три дня": 3, "на этой неделе": 0, "на следующей неделе": 7, "сегодня": 0}
 RELATIVE_WEEKDAYS = {"в субботу": "SAT", "в воскресенье": "SUN", "в пятницу": "FRI", "в четверг": "THU", "в среду": "WED",
                      "во вторник": "TUE", "в понедельник": "MON", "в эти выходные": "SAT"}
 # -------------------------------------------------------------------------------------------------------------------

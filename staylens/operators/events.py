@@ -43,12 +43,14 @@ def scan(
     return out
 
 
-def nearest_first(events: DataFrame, today: Column, limit: int, skip: int = 0) -> DataFrame:
-    """ST-01 / SRC-05: nearest to today first, ties by id; the page is taken with a distributed top-k."""
+def nearest_first(events: DataFrame, today: Column, limit: int, skip: int = 0, shown: int | None = None) -> DataFrame:
+    """ST-01 / SRC-05: nearest to today first, ties by id; the page is taken with a distributed top-k. `shown` cuts
+    descriptions for a display."""
     out = events.withColumn("_d", F.abs(F.datediff("date_start", today))).orderBy("_d", "event_id")
     if skip:
         out = out.offset(skip)
-    return out.limit(limit).drop("_d").withColumn("description", F.left("description", F.lit(300)))
+    out = out.limit(limit).drop("_d")
+    return out if shown is None else out.withColumn("description", F.left("description", F.lit(shown)))
 
 
 def upcoming(events: DataFrame, today: Column, date_from: Column | None = None) -> DataFrame:
@@ -254,14 +256,13 @@ def month_calendar(events: DataFrame, month_start: Column) -> DataFrame:
 
 
 def nearby_counts(days: DataFrame, events: DataFrame, before: int = 3, after: int = 7) -> DataFrame:
-    """JN-13: events in [-before, +after] days of each date. Daily counts first; the range frame then runs over dates,
-    not over events, so no event is copied."""
+    """JN-13: events in [-before, +after] days of each date. Daily counts first; a day's count then goes to the
+    dates that have it in reach, so one row per day is copied and no event."""
     daily = events.groupBy(F.col("date_start").alias("date")).agg(F.count("*").alias("n"))
-    spine = days.select("date").distinct().join(daily, "date", "full")
-    day_number = F.datediff("date", F.lit("1970-01-01").cast("date"))
-    w = W.partitionBy(F.lit(0)).orderBy(day_number).rangeBetween(-before, after)
-    counted = spine.select("date", F.coalesce("n", F.lit(0)).alias("on_day"), F.sum(F.coalesce("n", F.lit(0))).over(w).alias("nearby"))
-    return days.select("date").distinct().join(counted, "date")
+    reach = daily.select("date", "n", F.explode(F.sequence(F.lit(-after), F.lit(before))).alias("off"))
+    counted = reach.groupBy(F.date_add("date", F.col("off")).alias("date")).agg(
+        F.sum("n").alias("nearby"), F.sum(F.when(F.col("off") == 0, F.col("n"))).alias("on_day"))
+    return days.select("date").distinct().join(counted, "date", "left").select("date", F.coalesce("on_day", F.lit(0)).alias("on_day"), F.coalesce("nearby", F.lit(0)).alias("nearby"))
 
 
 def run_summary(runs: DataFrame, now: Column, stale_hours: int = 24) -> DataFrame:

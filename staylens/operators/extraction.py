@@ -6,6 +6,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,7 @@ POST_KEYWORDS = (
     "festival", "concert", "show", "exhibition", "tour",
 )
 GREETING = "понедельник|вторник|сред|четверг|пятниц|суббот|воскресень|настроен"
+POST_LABELS = ("место", "где", "адрес", "площадка", "локация")
 POST_VENUE_WORDS = (
     "дворец|театр|музей|галерея|центр|клуб|филармония|ДК|библиотека|зал|арена|стадион|отель|гостиница|парк|площадь"
 )
@@ -92,11 +94,15 @@ def register_node_function(spark: SparkSession, name: str = "jsonld_event_nodes"
 
 def event_nodes(blocks: DataFrame, *keep: str) -> DataFrame:
     """SC-37, second half: one row per event node. Depth is not bounded, which built-in expressions cannot follow."""
-    spark = blocks.sparkSession
-    register_node_function(spark)
-    blocks.createOrReplaceTempView("_jsonld_blocks")
-    cols = ", ".join(f"b.`{c}`" for c in keep)
-    return spark.sql(f"SELECT {cols}{', ' if cols else ''}n.node FROM _jsonld_blocks b, LATERAL jsonld_event_nodes(b.block) n")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            nodes = [[n for (n,) in _event_nodes(b)] if b is not None else [] for b in pdf["block"]]
+            yield pdf[list(keep)].assign(node=nodes).explode("node").dropna(subset="node")
+
+    kept = blocks.select(*keep).schema
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields), "node string"])
+    return blocks.select(*keep, "block").mapInPandas(walk, schema)
 
 
 def _first_given(*cols: Column) -> Column:
@@ -121,7 +127,7 @@ def jsonld_event(node: Column, url: Column, today: Column, city: str = "Ирку
         low.isNotNull(), F.concat(F.lit("от "), low.cast("string"), F.lit(" руб")))
     return {
         "title": F.trim(F.coalesce(g("$.name"), F.lit(""))),
-        "description": F.nullif(F.left(F.trim(g("$.description")), F.lit(2000)), F.lit("")),
+        "description": F.nullif(F.trim(g("$.description")), F.lit("")),
         "image_url": F.when(~image.rlike(r"^\s*[\[{]"), image),
         "age_restriction": F.when(F.contains(g("$.typicalAgeRange"), F.lit("-")), S.age_range(g("$.typicalAgeRange"))),
         "time_start": clock,
@@ -233,7 +239,7 @@ def markdown_events(pages: DataFrame, markdown: str, source: str, today: Column,
     rows = computed(
         rows.withColumn("_today", today), title=F.trim(F.element_at(lines, 1)),
         day=F.coalesce(D.russian_date(S.extract(low, DATE_LINE, 0), F.col("_today")), F.col("_today")),
-        text=F.left(F.trim(F.array_join(F.slice(lines, 2, 3), " ")), F.lit(500)))
+        text=F.trim(F.array_join(F.slice(lines, 2, 3), " ")))
     title, day, text = F.col("title"), F.col("day"), F.col("text")
     return rows.filter(F.length(title).between(5, 200) & ~F.lower(title).rlike(S.any_of(SERVICE_HEADINGS))).select(
         *keep, title.alias("title"), day.alias("date_start"), S.extract(low, price, 0).alias("price"),
@@ -271,7 +277,7 @@ def markdown_venues(pages: DataFrame, markdown: str, *keep: str) -> DataFrame:
 
 def channel_messages(pages: DataFrame, html: str, channel: Column, *keep: str) -> DataFrame:
     """SC-44: channel preview to message rows; forwarded posts and posts without text are left out."""
-    parts = F.slice(F.split(F.col(html), r'<div class="tgme_widget_message"'), 2, 1 << 30)
+    parts = F.filter(F.split(F.col(html), r'<div class="tgme_widget_message"'), lambda _, i: i > 0)
     rows = pages.select(*keep, channel.alias("channel"), F.explode(parts).alias("m"))
     m = F.col("m")
     number = S.extract(m, r'data-post="[^"]*?([^"/]+)"')
@@ -285,10 +291,16 @@ def channel_messages(pages: DataFrame, html: str, channel: Column, *keep: str) -
 
 
 def post_location(text: Column) -> Column:
-    pin = S.extract(text, r"📍\s*([^\n]{3,60})")
-    label = S.extract(text, r"(?iu)(?:место|где|адрес|площадка|локация)\s*[:\-–]\s*([^\n]{3,80})")
-    place = S.extract(text, rf"(?iumU)(?:^|[.!?]\s)(?:в|на)\s+((?:[а-яё]{{2,21}}\s+){{0,3}}(?:{POST_VENUE_WORDS})(?:\s*«[^»]+»)?)")
-    return F.left(F.trim(F.coalesce(pin, label, place, F.lit("Иркутск"))), F.lit(100))
+    """Place of a post. Each line offers what follows a pin, what follows a place label, and each sentence the venue it names
+    after its preposition; pins win over labels, labels over sentences."""
+    lines = F.split(text, "\n")
+    pins = F.transform(lines, lambda x: F.trim(F.coalesce(F.try_element_at(F.split(x, "📍"), F.lit(2)), F.lit(""))))
+    label = rf"(?iU)(?:{S.any_of(POST_LABELS)})\s*[:–-]\s*"
+    values = F.transform(lines, lambda x: F.when(x.rlike(label), F.trim(F.element_at(F.split(x, label, 2), -1))).otherwise(""))
+    venue = rf"(?iU)^(?:в|на)\s+((?:\S+\s+){{0,3}}?(?:{POST_VENUE_WORDS})(?:\s*«[^»]+»)?)"
+    venues = F.transform(F.split(text, r"[.!?\n]\s*"), lambda x: F.regexp_extract(F.trim(x), venue, 1))
+    long_enough = lambda v: F.filter(v, lambda x: F.length(x) >= 3)
+    return F.coalesce(*[S.first_filled(long_enough(v)) for v in (pins, values, venues)], F.lit("Иркутск"))
 
 
 def posts_to_events(posts: DataFrame, text: str, posted: str, source: Column, today: Column, *keep: str) -> DataFrame:
@@ -313,18 +325,40 @@ def posts_to_events(posts: DataFrame, text: str, posted: str, source: Column, to
     x = F.col("_text")
     return kept.select(
         *keep, t, "date_start", S.extract(x, r"(\d{1,2}:\d{2})").alias("time_start"), post_location(x).alias("location"),
-        S.price_any(x).alias("price_min"), F.left(x, F.lit(500)).alias("description"), S.age_limit(x).alias("age_restriction"),
-        S.event_type("title", F.left(x, F.lit(500))).alias("event_type"),
+        S.price_any(x).alias("price_min"), x.alias("description"), S.age_limit(x).alias("age_restriction"),
+        S.event_type("title", x).alias("event_type"),
         F.concat(F.lit("tg_"), "source", F.lit("_"), F.left(F.md5(F.concat(t, F.col("date_start").cast("string"))), F.lit(10))).alias("event_id"))
 
 
-def description_after(text: Column, max_lines: int = 25) -> Column:
-    """SC-52: text of the lines that follow a match: noise lines dropped, stopped by a picture, a heading, a rule or a
-    dated bullet, links reduced to their text, 2000 characters."""
-    lines = F.slice(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), 1, max_lines + 5)
-    ends = lambda x: x.rlike(r"^(?:!\[|##|---)") | (F.startswith(x, F.lit("*")) & F.lower(x).rlike(DATE_LINE))
-    stop = F.array_position(F.transform(lines, ends), True)
-    body = F.when(stop > 1, F.slice(lines, F.lit(1), F.greatest(stop - 1, F.lit(1)).cast("int"))).when(stop == 1, F.array().cast("array<string>")).otherwise(lines)
-    clean = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^\*\s+", ""), r"!\[[^\]]*\]\([^)]+\)", ""), r"\[([^\]]+)\]\([^)]+\)", "$1"))
-    kept = F.filter(F.transform(F.filter(body, lambda x: (x != "") & ~F.lower(x).rlike(NOISE_LINE)), clean), lambda x: x != "")
-    return F.nullif(F.left(F.array_join(F.slice(kept, 1, max_lines), " "), F.lit(2000)), F.lit(""))
+def ticket_blocks(pages: DataFrame, markdown: str, source: str, today: Column, *keep: str) -> DataFrame:
+    """SC-42, ticket site: a picture whose caption is the title, perhaps a heading that names it better, then bullets with the
+    date and the price range. The range line decides; the three lines before it are read backwards from it."""
+    base = pages.select(*keep, today.alias("_today"), F.filter(F.transform(F.split(F.col(markdown), "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("lines"))
+    spread = r"^\*\s+(\d[\d\s]*)[—–-]\s*(\d[\d\s]*)"
+    at = F.filter(F.sequence(F.lit(3), F.greatest(F.size("lines"), F.lit(3))), lambda i: F.try_element_at("lines", i).rlike(spread))
+    rows = base.select(*keep, "_today", "lines", F.explode(at).alias("i"))
+    line = lambda back: F.coalesce(F.try_element_at("lines", F.col("i") - back), F.lit(""))
+    rows = computed(rows.select(*keep, "_today", "lines", "i"), prices=line(0), when=S.extract(F.lower(line(1)), DATE_LINE, 0), name=line(2), above=line(3))
+    number = lambda n: F.regexp_replace(F.regexp_extract("prices", spread, n), r"\s", "").try_cast("int")
+    caption = F.regexp_extract("name", r"^!\[([^\]]{3,})\]", 1)
+    heading = F.trim(F.regexp_extract("name", r"^#+\s+(.+)$", 1))
+    rows = computed(rows.drop("lines"), title=F.when(caption != "", F.trim(caption)).when((heading != "") & F.col("above").rlike(r"^!\["), heading),
+                    date_start=D.russian_date(F.col("when"), F.col("_today")), price_min=number(1), price_max=number(2))
+    found = rows.filter(F.col("title").isNotNull() & F.col("date_start").isNotNull() & ~F.lower("title").rlike(NOISE_LINE))
+    return found.select(*keep, "title", "date_start", "price_min", "price_max", S.event_id(F.lit(source), F.col("date_start").cast("string"), F.col("title")).alias("event_id"))
+
+
+def description_after(text: Column) -> Column:
+    """SC-52: the lines that follow a match as one text. Lines are read in order: a picture, heading, rule or dated bullet ends
+    the description, empty and noise lines are passed over, of all others the plain text is kept."""
+    plain = lambda x: S.strip_markdown(F.regexp_replace(x, r"^\*\s+", ""))
+    ends = lambda x: x.rlike(r"^(?:!\[|##|---)") | (x.startswith("*") & F.lower(x).rlike(DATE_LINE))
+    start = F.struct(F.lit(True).alias("open"), F.array().cast("array<string>").alias("kept"))
+
+    def read(state: Column, line: Column) -> Column:
+        x = F.trim(line)
+        going = state["open"] & ~ends(x)
+        wanted = going & (plain(x) != "") & ~F.lower(x).rlike(NOISE_LINE)
+        return F.struct(going.alias("open"), F.when(wanted, F.array_append(state["kept"], plain(x))).otherwise(state["kept"]).alias("kept"))
+
+    return F.nullif(F.array_join(F.aggregate(F.split(text, "\n"), start, read, lambda s: s["kept"]), " "), F.lit(""))

@@ -1,8 +1,8 @@
 """Aggregations over the hotel-day facts: district series, snapshots, segments, prices, seasonality.
 
 Facts are reduced by (district, date), (hotel) or (segment) with map-side partial aggregation before anything else
-touches them, so one district holding most of the rows still spreads over all scan tasks. The hotel registry carries a
-broadcast hint only when its source has counted it below a limit (`session.broadcast_up_to`); beyond, Spark shuffles it.
+touches them, so one district holding most of the rows still spreads over all scan tasks. Whether the
+hotel registry is broadcast is left to Spark, which knows its size.
 """
 
 from __future__ import annotations

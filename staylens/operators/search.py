@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 
 from staylens.functions import text as S
 
-MAX_QUERY_BATCH = 1000
+QUERY_BLOCK, DOCUMENT_BLOCK = 256, 2048
 
 
 def rendered_documents(hotels: DataFrame, events: DataFrame) -> DataFrame:
@@ -55,37 +55,40 @@ def matching(documents: DataFrame, where: Column) -> DataFrame:
     return flagged.filter(F.col("_ok") | (any_hit == 0)).drop("_ok")
 
 
+def blocks(rows: DataFrame, id_col: str, size: int, name: str) -> tuple[DataFrame, int]:
+    """Rows packed into blocks of about `size` ids and vectors each, and the number of blocks."""
+    count = max(1, -(-rows.count() // size))
+    packed = rows.select(F.pmod(F.xxhash64(id_col), F.lit(count)).cast("int").alias(name), F.struct(F.col(id_col).alias("id"), "embedding").alias("r"))
+    return packed.groupBy(name).agg(F.collect_list("r").alias(f"{name}_rows")), count
+
+
 def top_k(documents: DataFrame, queries: DataFrame, k: int, id_col: str = "id") -> DataFrame:
-    """ML-25: the k nearest documents of each query by cosine distance, ties by id. Exact.
-
-    A search request carries few queries; their number is checked and they travel to the tasks as one matrix. A task
-    multiplies batches of documents with it and passes on at most k rows per query and batch, so what is shuffled does
-    not grow with the documents of a query."""
-    rows = queries.select("query_id", "embedding").limit(MAX_QUERY_BATCH + 1).collect()
-    if len(rows) > MAX_QUERY_BATCH:
-        raise ValueError(f"more than {MAX_QUERY_BATCH} queries in one search; split them into several")
-    names = [r["query_id"] for r in rows]
-    matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+    """ML-25: the k nearest documents of each query by cosine distance, ties by id. Exact, for any number of queries.
+
+    Both sides are packed into blocks of bounded size, and every block of documents meets every block of queries in a task, as one
+    matrix product. A task passes on at most k rows per query and block, so what is ranked does not grow with the
+    documents themselves."""
     id_type = documents.schema[id_col].dataType.simpleString()
     q_type = queries.schema["query_id"].dataType.simpleString()
+    asked, count = blocks(queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull()), "query_id", QUERY_BLOCK, "qb")
+    stored, _ = blocks(documents.select(id_col, "embedding").filter(F.col("embedding").isNotNull()), id_col, DOCUMENT_BLOCK, "db")
+    pairs = stored.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(asked, "qb").select("db_rows", "qb_rows")
+
+    def unit(rows) -> np.ndarray:
+        matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
+        return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if pdf.empty:
-                continue
-            docs = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            norms = np.linalg.norm(docs, axis=1)
-            sims = (docs / np.maximum(norms, 1e-300)[:, None]) @ matrix.T
-            ids = pdf[id_col].to_numpy()
-            out = []
-            for j, name in enumerate(names):
-                best = np.lexsort((ids, -sims[:, j]))[:k]
-                out.append(pd.DataFrame({"query_id": [name] * len(best), id_col: ids[best], "distance": 1.0 - sims[best, j]}))
-            yield pd.concat(out) if out else pd.DataFrame({"query_id": [], id_col: [], "distance": []})
-
-    partial = documents.select(id_col, "embedding").filter(F.col("embedding").isNotNull()).mapInPandas(
-        score, f"query_id {q_type}, {id_col} {id_type}, distance double")
+            for docs, wanted in zip(pdf["db_rows"], pdf["qb_rows"]):
+                ids = np.array([r["id"] for r in docs])
+                distance = 1.0 - unit(wanted) @ unit(docs).T
+                best = [np.lexsort((ids, row))[:k] for row in distance]
+                yield pd.DataFrame({
+                    "query_id": [q["id"] for q, b in zip(wanted, best) for _ in b],
+                    id_col: np.concatenate([ids[b] for b in best]), "distance": np.concatenate([row[b] for row, b in zip(distance, best)])})
+
+    partial = pairs.mapInPandas(score, f"query_id {q_type}, {id_col} {id_type}, distance double")
     w = W.partitionBy("query_id").orderBy("distance", id_col)
     return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

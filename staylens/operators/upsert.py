@@ -168,11 +168,22 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def export_occupancy(stats: DataFrame, hotels: DataFrame) -> DataFrame:
-    """SNK-08, occupancy: fixed columns, NULL as zero or blank."""
+def export_occupancy(
+    stats: DataFrame, hotels: DataFrame, district: str | None = None, date_from: Column | None = None, date_to: Column | None = None, limit: int | None = None
+) -> DataFrame:
+    """SNK-08, occupancy: fixed columns, NULL as zero or blank. A caller may name a district and days, and take the newest rows."""
     zero, blank = F.lit(0), F.lit("")
     reg = hotels.select("id", F.col("name").alias("hotel_name"), "district", "city")
-    return stats.join(reg, "id").select(
+    if district is not None:
+        reg = reg.filter(F.col("district") == district)
+    if date_from is not None:
+        stats = stats.filter(F.col("date") >= date_from)
+    if date_to is not None:
+        stats = stats.filter(F.col("date") <= date_to)
+    rows = stats.join(reg, "id")
+    if limit is not None:
+        rows = rows.orderBy(F.desc("date"), "id").limit(limit)
+    return rows.select(
         "date", F.col("id").alias("hotel_id"), F.coalesce("hotel_name", blank).alias("hotel_name"),
         F.coalesce("district", blank).alias("district"), F.coalesce("city", blank).alias("city"),
         F.coalesce("rooms_num", zero).alias("rooms_num"), F.coalesce("free_rooms_amount", zero).alias("free_rooms_amount"),

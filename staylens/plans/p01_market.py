@@ -418,40 +418,32 @@ def _(t):
     return K.data_coverage(series(t))
 
 
-HOLE = "date NOT BETWEEN DATE '1997-06-24' AND DATE '1997-10-25'"
-
-
-def holed(t):
-    """The facts without a four-month stretch, so that gap logic has a gap to find."""
-    return t.stats.filter(~F.col("date").between("1997-06-24", "1997-10-25"))
-
-
-@query("so07_missing_months", f"""WITH o AS (SELECT DISTINCT district, date_trunc('month', date) AS m FROM {JOINED} WHERE {HOLE} AND rooms_num > 0),
+@query("so07_missing_months", f"""WITH o AS (SELECT DISTINCT district, date_trunc('month', date) AS m FROM {JOINED} WHERE rooms_num > 0),
     r AS (SELECT district, unnest(generate_series(min(m), max(m), INTERVAL 1 MONTH)) AS m FROM o GROUP BY district)
     SELECT district, strftime(m, '%Y-%m-%d') AS month FROM r WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.district = r.district AND o.m = r.m)""")
 def _(t):
-    return K.missing_months(K.daily_series(holed(t), t.hotels))
+    return K.missing_months(K.daily_series(t.stats, t.hotels))
 
 
-@query("wn03_gaps", f"""SELECT CAST(a AS VARCHAR) AS gap_from, CAST(b AS VARCHAR) AS gap_to, CAST(b - a AS INTEGER) AS gap_days FROM (
-    SELECT date AS a, lead(date) OVER (ORDER BY date) AS b FROM (SELECT DISTINCT date FROM hotel_statistics WHERE {HOLE})) WHERE b - a > 7""")
+@query("wn03_gaps", """SELECT district, CAST(a AS VARCHAR) AS gap_from, CAST(b AS VARCHAR) AS gap_to, CAST(b - a AS INTEGER) AS gap_days FROM (
+    SELECT district, date AS a, lead(date) OVER (PARTITION BY district ORDER BY date) AS b FROM district_daily) WHERE b - a > 1""")
 def _(t):
-    return K.gaps(holed(t), 7)
+    return K.gaps(t.district_daily, 1, "district")
 
 
 @query("wn03_gaps_per_hotel", f"""SELECT id, CAST(a AS VARCHAR) AS gap_from, CAST(b AS VARCHAR) AS gap_to, CAST(b - a AS INTEGER) AS gap_days FROM (
-    SELECT id, date AS a, lead(date) OVER (PARTITION BY id ORDER BY date) AS b FROM hotel_statistics WHERE {HOLE}) WHERE b - a > 7""")
+    SELECT id, date AS a, lead(date) OVER (PARTITION BY id ORDER BY date) AS b FROM hotel_statistics) WHERE b - a > 7""")
 def _(t):
-    return K.gaps(holed(t), 7, "id")
+    return K.gaps(t.stats, 7, "id")
 
 
 @query("ag24_metadata", f"""SELECT CAST(min(date) AS VARCHAR) AS data_from, CAST(max(date) AS VARCHAR) AS data_to,
     CAST(max(updated_at) AS VARCHAR) AS last_refresh, (SELECT count(*) FROM hotels) AS hotels_count, (SELECT count(*) FROM cal_events) AS events_count,
     (SELECT count(*) FROM cal_events WHERE date_start >= (SELECT today FROM event_today)) AS upcoming_events,
-    (SELECT count(*) FROM (SELECT date AS a, lead(date) OVER (ORDER BY date) AS b FROM (SELECT DISTINCT date FROM hotel_statistics WHERE {HOLE}))
-     WHERE b - a > 7) AS gap_count FROM hotel_statistics WHERE {HOLE}""")
+    (SELECT count(*) FROM (SELECT date AS a, lead(date) OVER (ORDER BY date) AS b FROM (SELECT DISTINCT date FROM hotel_statistics))
+     WHERE b - a > 7) AS gap_count FROM hotel_statistics""")
 def _(t):
-    return K.metadata(holed(t), t.hotels, t.cal_events, t.event_today)
+    return K.metadata(t.stats, t.hotels, t.cal_events, t.event_today)
 
 
 HIST = f"""SELECT date, avg(avg_price) AS avg_price, min(avg_price) AS min_price, max(avg_price) AS max_price, count(*) AS samples
@@ -578,13 +570,13 @@ def _(t):
     return K.snapshot_on(t.stats, t.as_of, strict=True)
 
 
-@query("jn10_snapshot_as_of", f"""SELECT {SNAPCOLS} FROM hotel_statistics WHERE {HOLE}
-    AND date = (SELECT max(date) FROM hotel_statistics WHERE date <= DATE '1997-08-01' AND {HOLE})""")
+@query("jn10_snapshot_as_of", f"""SELECT {SNAPCOLS} FROM hotel_statistics
+    WHERE date = (SELECT max(date) FROM hotel_statistics WHERE date <= DATE '1997-08-01')""")
 def _(t):
-    return K.snapshot_on(holed(t), F.lit("1997-08-01").cast("date"))
+    return K.snapshot_on(t.stats, F.lit("1997-08-01").cast("date"))
 
 
 @query("jn10_as_of_per_hotel", f"""SELECT DISTINCT ON (id) id, CAST(date AS VARCHAR) AS date, rooms_num, free_rooms_amount, available_rooms_percent,
-    min_price, max_capacity FROM hotel_statistics WHERE {HOLE} AND hotel_statistics.date <= DATE '1997-08-01' ORDER BY id, hotel_statistics.date DESC""")
+    min_price, max_capacity FROM hotel_statistics WHERE hotel_statistics.date <= DATE '1997-08-01' ORDER BY id, hotel_statistics.date DESC""")
 def _(t):
-    return K.as_of_per_hotel(holed(t), F.lit("1997-08-01").cast("date"))
+    return K.as_of_per_hotel(t.stats, F.lit("1997-08-01").cast("date"))

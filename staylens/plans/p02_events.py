@@ -13,9 +13,9 @@ from staylens.plans.registry import query
 from staylens.sources import tables as R
 
 TODAY = "(SELECT today FROM event_today)"
-EV = """event_id, title, left(description, 300) AS description, CAST(date_start AS VARCHAR) AS date_start, CAST(date_end AS VARCHAR) AS date_end,
+EV = """event_id, title, description, CAST(date_start AS VARCHAR) AS date_start, CAST(date_end AS VARCHAR) AS date_end,
     event_type, location, source_id, url, time_start, price_min, price_max, image_url, address, age_restriction"""
-PLAIN = EV.replace("left(description, 300) AS description", "description")
+PLAIN = EV
 
 
 @query("src01_typed_scans", """SELECT 'hotels' AS name, count(*) AS n FROM hotels UNION ALL SELECT 'hotel_statistics', count(*) FROM hotel_statistics
@@ -166,8 +166,13 @@ DAYS = f"""WITH {WITH_D} SELECT DISTINCT CASE WHEN district = '' THEN 'AFRICA' E
     CAST(unnest(generate_series(date_start, greatest(coalesce(date_end, date_start), date_start), INTERVAL 1 DAY)) AS DATE) AS date FROM ed"""
 
 
-def event_days(t):
-    return E.event_days(located(t, "AFRICA"), F.col("district"))
+FESTIVALS = DAYS + " WHERE event_type = 'festival'"
+
+
+def event_days(t, kind: str | None = None):
+    """Days on which a district has an event, of one kind if given."""
+    events = located(t, "AFRICA")
+    return E.event_days(events if kind is None else events.filter(F.col("event_type") == kind), F.col("district"))
 
 
 @query("jn07_event_days", f"SELECT district, CAST(date AS VARCHAR) AS date FROM ({DAYS})")
@@ -209,7 +214,7 @@ def _(t):
 
 
 FILLED = " + ".join(f"CAST({c} IS NOT NULL AND CAST({c} AS VARCHAR) NOT IN ('', '0') AS INTEGER)" for c in E.COMPLETENESS)
-KEY = r"left(trim(regexp_replace(regexp_replace(lower(title), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), 60)"
+KEY = r"trim(regexp_replace(regexp_replace(lower(title), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 @query("so04_exact_dedup", f"""WITH {WITH_D}, k AS (SELECT *, {KEY} AS title_key, {FILLED} AS score FROM ed),
@@ -329,9 +334,9 @@ def _(t):
 
 @query("snk08_export_occupancy", """SELECT CAST(date AS VARCHAR) AS date, s.id AS hotel_id, name AS hotel_name, district, city, coalesce(rooms_num, 0) AS rooms_num,
     coalesce(free_rooms_amount, 0) AS free_rooms_amount, coalesce(available_rooms_percent, 0) AS available_rooms_percent, coalesce(s.min_price, 0) AS min_price
-    FROM hotel_statistics s JOIN hotels h ON h.id = s.id ORDER BY s.date DESC, s.id LIMIT 5000""")
+    FROM hotel_statistics s JOIN hotels h ON h.id = s.id""")
 def _(t):
-    return U.export_occupancy(t.stats, t.hotels).orderBy(F.desc("date"), "hotel_id").limit(5000)
+    return U.export_occupancy(t.stats, t.hotels)
 
 
 @query("snk08_export_events", """SELECT event_id, title, CAST(date_start AS VARCHAR) AS date_start, coalesce(CAST(date_end AS VARCHAR), '') AS date_end,

@@ -37,7 +37,7 @@ def rx(expr: str, pattern: str, group: int = 1) -> str:
     return f"nullif(regexp_extract({expr}, '{q(pattern)}', {group}), '')"
 
 
-@query("sc01_title_key", r"""SELECT o_orderkey, left(trim(regexp_replace(regexp_replace(lower(title), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), 60) AS key
+@query("sc01_title_key", r"""SELECT o_orderkey, trim(regexp_replace(regexp_replace(lower(title), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS key
     FROM listing""")
 def _(t):
     return t.listing.select("o_orderkey", S.title_key("title").alias("key"))
@@ -46,8 +46,7 @@ def _(t):
 CLEAN = r"trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query("sc02_clean_text", f"""SELECT page_id, CASE WHEN length(c) > 500 THEN left(c, 497) || '...' ELSE c END AS text
-    FROM (SELECT page_id, {CLEAN} AS c FROM pages)""")
+@query("sc02_clean_text", f"SELECT page_id, {CLEAN} AS text FROM pages")
 def _(t):
     return t.raw("pages").select("page_id", S.clean_text("html").alias("text"))
 
@@ -57,7 +56,7 @@ for _entity, _char in S.ENTITIES.items():
     ENT = f"replace({ENT}, '{_entity}', '{q(_char)}')"
 
 
-@query("sc03_clean_html", f"SELECT page_id, left({CLEAN.replace('html', ENT)}, 500) AS text FROM pages")
+@query("sc03_clean_html", f"SELECT page_id, {CLEAN.replace('html', ENT)} AS text FROM pages")
 def _(t):
     return t.raw("pages").select("page_id", S.clean_html("html").alias("text"))
 
@@ -75,9 +74,9 @@ def _(t):
 
 
 SLUG = "lower(title)"
-for _a, _b in S.TRANSLIT_PAIRS.items():
+for _a, _b in S.TRANSLIT.items():
     SLUG = f"replace({SLUG}, '{_a}', '{_b}')"
-SLUG = f"regexp_replace(translate({SLUG}, '{S.TRANSLIT_FROM}', '{S.TRANSLIT_TO}'), '[^a-z0-9_]', '', 'g')"
+SLUG = f"regexp_replace({SLUG}, '[^a-z0-9_]', '', 'g')"
 
 
 @query("sc05_ascii_slug", f"SELECT o_orderkey, coalesce(nullif({SLUG}, ''), 'all') AS slug FROM listing")
@@ -100,17 +99,17 @@ for _p in S.CREDENTIALS:
     RED = f"regexp_replace({RED}, '(?i){_p}', '[REDACTED]', 'g')"
 
 
-@query("sc07_redact", f"SELECT o_orderkey, left({RED}, 500) AS text FROM listing")
+@query("sc07_redact", f"SELECT o_orderkey, {RED} AS text FROM listing")
 def _(t):
     return t.listing.select("o_orderkey", S.redact("error_text").alias("text"))
 
 
 BLOCK = "coalesce(title, '') || chr(10) || 'Место: ' || coalesce(place, '') || chr(10) || price_text"
-LOC = f"coalesce({rx(BLOCK, '(?i)' + S.VENUE_LABEL)}, {rx(BLOCK, '(?i)' + S.VENUE, 0)})"
+LOC = f"coalesce({rx(BLOCK, '(?i)' + S.PLACE_LABEL + '+([^\n,]{3,80})')}, {rx(BLOCK, '(?i)' + S.VENUE, 0)})"
 LOC = rf"trim(regexp_replace(trim(regexp_extract({LOC}, '^([^•]*)', 1)), '(?i)\s*\d{{1,2}}\s+(?:янв|фев|мар|апр|мая|июн|июл|авг|сен|окт|ноя|дек)[\p{{L}}\p{{N}}_]*.*$', ''))"
 
 
-@query("sc08_location", f"SELECT o_orderkey, left(coalesce(nullif({LOC}, ''), 'Иркутск'), 100) AS location FROM listing")
+@query("sc08_location", f"SELECT o_orderkey, coalesce(nullif({LOC}, ''), 'Иркутск') AS location FROM listing")
 def _(t):
     block = F.concat(F.col("title"), F.lit("\nМесто: "), F.coalesce("place", F.lit("")), F.lit("\n"), F.col("price_text"))
     return t.listing.select("o_orderkey", S.location_from_block(block).alias("location"))

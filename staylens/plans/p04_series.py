@@ -19,18 +19,12 @@ from staylens.plans.registry import query
 from staylens.sources import tables as R
 
 TODAY = "(SELECT today FROM as_of)"
-HOLE = P1.HOLE
 
 
 def occ(t):
     return t.district_daily
 
 
-def holed_daily(t):
-    return t.district_daily.filter(~F.col("date").between("1997-06-24", "1997-10-25"))
-
-
-HOLED = f"(SELECT * FROM district_daily WHERE {HOLE})"
 ROOMS = f"""SELECT district, date, coalesce(sum(rooms_num), 0) AS total_rooms, coalesce(sum(free_rooms_amount), 0) AS free_rooms,
     count(DISTINCT s.id) AS hotels_count FROM {P1.JOINED} WHERE date >= {TODAY} - 365 GROUP BY district, date"""
 PACE = f"""SELECT district, date, booked, total_rooms, free_rooms, hotels_count, CASE WHEN total_rooms > 0 THEN booked / total_rooms * 100 ELSE 0 END AS occupancy,
@@ -116,24 +110,22 @@ def _(t):
     return T.half_trend(t.forecasts.filter(F.col("forecast_date") >= "2001-10-01"), ["district", "model"], "predicted_occupancy", "forecast_date", 3)
 
 
-@query("wn18_short_gap_interpolation", f"""WITH s AS (SELECT district, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM {HOLED} GROUP BY district),
-    j AS (SELECT s.district, s.date, o.occupancy AS y FROM s LEFT JOIN (SELECT * FROM {HOLED} WHERE day(date) NOT IN (5, 6, 7)) o ON o.district = s.district AND o.date = s.date),
+@query("wn18_short_gap_interpolation", f"""WITH s AS (SELECT district, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM district_daily GROUP BY district),
+    j AS (SELECT s.district, s.date, o.occupancy AS y FROM s LEFT JOIN district_daily o ON o.district = s.district AND o.date = s.date),
     k AS (SELECT *, last_value(CASE WHEN y IS NOT NULL THEN date END IGNORE NULLS) OVER a AS pd, last_value(y IGNORE NULLS) OVER a AS pv,
       first_value(CASE WHEN y IS NOT NULL THEN date END IGNORE NULLS) OVER b AS nd, first_value(y IGNORE NULLS) OVER b AS nv FROM j
       WINDOW a AS (PARTITION BY district ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
              b AS (PARTITION BY district ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
     SELECT district, CAST(date AS VARCHAR) AS date, round(y, 6) AS observed, round(CASE WHEN y IS NOT NULL THEN y WHEN nd - pd - 1 <= 7 THEN pv + (nv - pv) * (date - pd) / (nd - pd) END, 6) AS occupancy FROM k
-    WHERE district IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST') AND date BETWEEN (SELECT min(date) FROM {HOLED}) AND (SELECT max(date) FROM {HOLED})""")
+    WHERE district IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST') AND date BETWEEN (SELECT min(date) FROM district_daily) AND (SELECT max(date) FROM district_daily)""")
 def _(t):
-    holes = holed_daily(t)
-    thin = holes.withColumn("occupancy", F.when(~F.dayofmonth("date").isin(5, 6, 7), F.col("occupancy")))
-    return T.interpolate_short_gaps(thin, "occupancy")
+    return T.interpolate_short_gaps(t.district_daily, "occupancy")
 
 
-@query("wn19_break_rows", f"""WITH g AS (SELECT id, date, CAST(rooms_num AS DOUBLE) AS v, date - lag(date) OVER (PARTITION BY id ORDER BY date) AS gap FROM hotel_statistics WHERE {HOLE})
+@query("wn19_break_rows", f"""WITH g AS (SELECT id, date, CAST(rooms_num AS DOUBLE) AS v, date - lag(date) OVER (PARTITION BY id ORDER BY date) AS gap FROM hotel_statistics)
     SELECT id, CAST(date AS VARCHAR) AS date, v, FALSE AS is_break FROM g UNION ALL SELECT id, CAST(date AS VARCHAR), NULL, TRUE FROM g WHERE gap > 2""")
 def _(t):
-    return T.with_breaks(P1.holed(t).withColumn("v", F.col("rooms_num").cast("double")), "v", "id")
+    return T.with_breaks(t.stats.withColumn("v", F.col("rooms_num").cast("double")), "v", "id")
 
 
 @query("wn20_residual_spread", """WITH r AS (SELECT district, occupancy - avg(occupancy) OVER (PARTITION BY district ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS r,
@@ -148,8 +140,8 @@ def _(t):
     return T.fill_series(t.stats.select("id", "date", F.col("available_rooms_percent").alias("pct")), "pct", ["id"])
 
 
-FLAGGED = f"""(SELECT a.district, a.date, CASE WHEN d.date IS NULL THEN 0 ELSE 1 END AS is_event FROM {HOLED} a
-    LEFT JOIN (SELECT * FROM ({P2.DAYS}) WHERE day(date) > 12) d ON d.district = a.district AND d.date = a.date)"""
+FLAGGED = f"""(SELECT a.district, a.date, CASE WHEN d.date IS NULL THEN 0 ELSE 1 END AS is_event FROM district_daily a
+    LEFT JOIN ({P2.FESTIVALS}) d ON d.district = a.district AND d.date = a.date)"""
 
 
 @query("wn16_event_episodes", f"""SELECT district, CAST(sum(CASE WHEN is_event = 1 AND coalesce(p, 0) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS episodes FROM (
@@ -157,8 +149,7 @@ FLAGGED = f"""(SELECT a.district, a.date, CASE WHEN d.date IS NULL THEN 0 ELSE 1
 def _(t):
     from staylens.operators.upsert import panel_dump
 
-    days = P2.event_days(t).filter(F.dayofmonth("date") > 12)
-    return T.episodes(panel_dump(holed_daily(t), days))
+    return T.episodes(panel_dump(t.district_daily, P2.event_days(t, "festival")))
 
 
 @query("wn24_peak_concurrency", """WITH m AS (SELECT event_type, ts AS pt, 1 AS n FROM events UNION ALL SELECT event_type, ts + INTERVAL 1 HOUR, -1 FROM events),
@@ -385,7 +376,7 @@ def _(t):
 def _(t):
     obs = origins(t)
     rows = obs.select("district", "origin", "h", (F.col("same_weekday") - F.col("actual")).alias("m"), (F.col("naive") - F.col("actual")).alias("n")).filter("m IS NOT NULL")
-    return C.paired_bootstrap(rows, ["h"], "m", "n", rounds=200)
+    return C.paired_bootstrap(rows, ["h"], "m", "n")
 
 
 @query("ml23_fallback_forecast", """WITH b AS (SELECT district, avg(occupancy) AS b, max(date) AS d FROM district_daily GROUP BY district),
@@ -417,9 +408,9 @@ def _(t):
 
 
 @query("jn11_nearest_in_time", f"""SELECT district, CAST(date AS VARCHAR) AS date, round(occupancy, 6) AS occupancy, CAST(distance AS INTEGER) AS distance FROM (
-    SELECT *, abs(date - DATE '1997-06-28') AS distance, row_number() OVER (PARTITION BY district ORDER BY abs(date - DATE '1997-06-28'), date) AS rn FROM {HOLED}) WHERE rn = 1 AND distance <= 7""")
+    SELECT *, abs(date - DATE '1997-06-28') AS distance, row_number() OVER (PARTITION BY district ORDER BY abs(date - DATE '1997-06-28'), date) AS rn FROM district_daily) WHERE rn = 1 AND distance <= 7""")
 def _(t):
-    return C.nearest_in_time(holed_daily(t), F.lit("1997-06-28").cast("date"))
+    return C.nearest_in_time(t.district_daily, F.lit("1997-06-28").cast("date"))
 
 
 @query("jn15_merged_series", f"""WITH u AS (SELECT district, date, occupancy AS a, NULL AS f, NULL AS lo, NULL AS hi FROM district_daily
@@ -521,8 +512,8 @@ def _(t):
 
 @query("src17_model_holidays", f"""WITH x AS (SELECT min(date) AS lo, max(date) + 90 AS hi FROM district_daily),
     h AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS d FROM x),
-    u AS (SELECT d AS date, left({"([" + ", ".join(f"'{n}'" for _, _, n in D.PUBLIC_HOLIDAYS) + "])"}[list_position({HD}, strftime(d, '%m-%d'))], 30) AS holiday, -2 AS lo, 2 AS hi, 0 AS r, '' AS id
-        FROM h WHERE list_contains({HD}, strftime(d, '%m-%d')) UNION ALL SELECT date_start, left(title, 30), 0, 0, 1, event_id FROM cal_events)
+    u AS (SELECT d AS date, {"([" + ", ".join(f"'{n}'" for _, _, n in D.PUBLIC_HOLIDAYS) + "])"}[list_position({HD}, strftime(d, '%m-%d'))] AS holiday, -2 AS lo, 2 AS hi, 0 AS r, '' AS id
+        FROM h WHERE list_contains({HD}, strftime(d, '%m-%d')) UNION ALL SELECT date_start, title, 0, 0, 1, event_id FROM cal_events)
     SELECT CAST(date AS VARCHAR) AS date, holiday, CAST(lo AS INTEGER) AS lower_window, CAST(hi AS INTEGER) AS upper_window FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY r, id) AS rn FROM u) WHERE rn = 1""")
 def _(t):
     return R.model_holidays(occ(t), t.cal_events)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from staylens import model as M
 from staylens.operators import effect as FX
 from staylens.plans import p02_events as P2
 from staylens.plans import p04_series as P4
@@ -11,12 +12,12 @@ from staylens.plans.registry import query
 
 
 def panel(t):
-    return P4.holed_daily(t)
+    return t.district_daily
 
 
 def days(t):
-    """Half of the event calendar: with all of it nearly every day is an event day."""
-    return P2.event_days(t).filter(F.dayofmonth("date") > 12)
+    """The effect of one kind of event: some event takes place on nearly every day."""
+    return P2.event_days(t, "festival")
 
 
 KEPT = f"""(SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY district) AS nd, count(*) OVER (PARTITION BY district, cell) AS nc, sum(is_event) OVER (PARTITION BY district, cell) AS ne
@@ -48,15 +49,15 @@ def _(t):
 @query("ml18_placebo")
 def _(t):
     rows = FX.demeaned(FX.informative_cells(panel(t), days(t)))
-    return FX.placebo(rows, FX.solve(FX.normal_equations(rows)), 200)
+    return FX.placebo(rows, FX.solve(FX.normal_equations(rows)), M.PLACEBO_ROUNDS)
 
 
 @query("wn21_shifted_calendars")
 def _(t):
-    return FX.shifted_days(FX.informative_cells(panel(t), days(t)), 20, 1).groupBy("district", "round").agg(
+    return FX.shifted_days(FX.informative_cells(panel(t), days(t)), M.PLACEBO_ROUNDS, 1).groupBy("district", "round").agg(
         F.count("*").alias("days"), F.min("date").alias("first_day"))
 
 
 @query("ml19_event_effect_report")
 def _(t):
-    return FX.verdict(FX.event_effect(panel(t), days(t), rounds=200))
+    return FX.verdict(FX.event_effect(panel(t), days(t)))

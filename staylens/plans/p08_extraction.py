@@ -102,7 +102,7 @@ def event_pages(t, nested=True):
     kind = F.lit('"@type": ["Event", "Thing"]') if nested else F.lit('"@type": "Event"')
     head = F.to_json(F.struct(F.col("title").alias("name"), start.alias("startDate"), txt("date_end").alias("endDate"), "description", "url",
                               F.when(F.col("age_restriction").isNotNull(), "12-99").otherwise("0-99").alias("typicalAgeRange"), F.col("image_url").alias("image")))
-    node = F.concat(F.lit("{"), kind, F.lit(", "), F.substring(head, 2, 1 << 20))
+    node = F.concat(F.lit("{"), kind, F.lit(", "), F.substr(head, F.lit(2)))
     node = F.concat(F.left(node, F.length(node) - 1), F.lit(', "location": '), place, F.lit(', "offers": '), offers, F.lit("}"))
     body = F.concat(F.lit('{"@type": "ItemList", "items": [{"item": '), node, F.lit("}]}")) if nested else F.concat(F.lit('{"@graph": ['), node, F.lit("]}"))
     return t.cal_events.select("event_id", F.concat(F.lit('<html><script type="application/ld+json">'), body, F.lit("</script></html>")).alias("html"))
@@ -186,6 +186,17 @@ def _(t):
     return XT.markdown_events(markdown_pages(t).drop("title"), "md", "md", t.event_today, "o_orderkey").drop("description", "event_id", "event_type")
 
 
+@query("sc42_ticket_blocks", f"""SELECT o_orderkey, trim(title) AS title, CAST({ROLLED} AS VARCHAR) AS date_start, 300 + CAST(o_orderkey % 50 AS INTEGER) AS price_min,
+    1500 + CAST(o_orderkey % 70 AS INTEGER) AS price_max FROM listing WHERE {ROLLED} IS NOT NULL AND NOT regexp_matches(lower(title), '{XT.NOISE_LINE}') AND length(trim(title)) > 2""")
+def _(t):
+    k = F.col("o_orderkey")
+    month = F.element_at(F.array(*[F.lit(m) for m in D.MONTHS_GENITIVE]), F.month("posted"))
+    head = F.when(k % 2 == 0, F.concat(F.lit("!["), F.col("title"), F.lit("](http://x/p.png)"))).otherwise(F.concat(F.lit("![афиша](http://x/p.png)\n\n## "), F.col("title")))
+    prices = F.concat(F.lit("\n* "), (k % 50 + 300).cast("string"), F.lit(" — 1 "), (k % 70 + 500).cast("string"))
+    md = F.concat(F.lit("# Афиша\n"), head, F.lit("\n* "), F.dayofmonth("posted").cast("string"), F.lit(" "), month, prices, F.lit("\n* 12+"))
+    return XT.ticket_blocks(t.listing.select("o_orderkey", md.alias("md")), "md", "kassa", t.event_today, "o_orderkey").drop("event_id")
+
+
 @query("sc43_markdown_links", "SELECT o_orderkey, 'билет ' || o_orderkey AS title, 'https://kassir.ru/e/' || o_orderkey AS url FROM listing")
 def _(t):
     return XT.markdown_links(markdown_pages(t), "md", "kassir.ru", "o_orderkey")
@@ -215,10 +226,10 @@ def _(t):
     return XT.posts_to_events(posts, "text", "posted", F.col("source"), t.event_today, "o_orderkey")
 
 
-@query("sc21_relative_dates", """SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN posted + 1 WHEN 1 THEN posted + 2 WHEN 2 THEN posted + CAST((5 - (isodow(posted) - 1) + 6) % 7 + 1 AS INTEGER) END AS VARCHAR) AS day FROM listing""")
+@query("sc21_relative_dates", """SELECT o_orderkey, CAST(CASE o_orderkey % 5 WHEN 4 THEN posted WHEN 0 THEN posted + 1 WHEN 1 THEN posted + 2 WHEN 2 THEN posted + CAST((5 - (isodow(posted) - 1) + 6) % 7 + 1 AS INTEGER) END AS VARCHAR) AS day FROM listing""")
 def _(t):
     k = F.col("o_orderkey")
-    phrase = F.when(k % 4 == 0, "Встречаемся завтра!").when(k % 4 == 1, "Уже послезавтра").when(k % 4 == 2, "ждём в субботу").otherwise("когда-нибудь")
+    phrase = F.when(k % 5 == 0, "Встречаемся завтра!").when(k % 5 == 1, "Уже послезавтра").when(k % 5 == 2, "ждём в субботу").when(k % 5 == 4, "ждём на этой неделе").otherwise("когда-нибудь")
     return t.listing.select("o_orderkey", D.relative_date(phrase, F.col("posted")).alias("day"))
 
 

@@ -48,7 +48,7 @@ def _(t):
         F.lit(None).cast("date").alias("date_end"), text("event_type"), text("location"), F.col("o_orderstatus").alias("source_id"), text("url"), text("time_start"),
         F.lit(None).cast("int").alias("price_min"), F.lit(None).cast("int").alias("price_max"), text("image_url"), text("address"), text("age_restriction"),
         F.col("o_orderdate").cast("timestamp").alias("ingest_ts"), F.col("o_orderkey").alias("ingest_order"))
-    J.drain(J.ingest_events(rows, table, delay="3650 days"), f"{folder}/checkpoint")
+    J.drain(J.ingest_events(rows, table), f"{folder}/checkpoint")
     return t.spark.read.parquet(table.path).select("source_id", "date_start", "title", "event_id")
 
 
@@ -85,15 +85,16 @@ def _(t):
     runs = J.file_stream(t.spark, t.folder, "events").select(
         F.col("event_type").alias("source"), F.col("event_id").alias("run_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("run_ts"),
         (v % 5).alias("items"), (v % 3 == 0).alias("success"))
-    return stored(t, ST.source_health(runs), "health").drop("avg_count", "alerts")
+    return stored(t, ST.source_health(runs), "health").drop("avg_count", "alerts", "healthy")
 
 
 @query("sm06_freshness", f"""WITH l AS (SELECT source, arg_max(status, run_ts) AS status, arg_max(items, run_ts) AS items, floor(epoch(max(run_ts))) AS e FROM {RUNS} GROUP BY source),
     a AS (SELECT *, (epoch(TIMESTAMP '2024-02-01 00:00:00') - e) / 60.0 AS age FROM l)
-    SELECT source, status, items, round(CAST(age AS DOUBLE), 6) AS age_minutes, CAST(360 AS DOUBLE) AS expected_minutes, age > 720 AS is_stale, status = 'ok' AND items = 0 AS is_empty FROM a""")
+    SELECT source, status, items, round(CAST(age AS DOUBLE), 6) AS age_minutes, CAST(360 AS DOUBLE) AS expected_minutes, age > 720 AS is_stale, status = 'ok' AND items = 0 AS is_empty,
+    strftime(make_timestamp(CAST((e + 21600) * 1000000 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS next_expected_run FROM a""")
 def _(t):
     runs = source_runs(t).withColumn("run_ts", F.col("run_ts").cast("timestamp"))
-    return J.freshness(J.last_runs(runs), F.lit("2024-02-01 00:00:00").cast("timestamp")).drop("next_expected_run")
+    return J.freshness(J.last_runs(runs), F.lit("2024-02-01 00:00:00").cast("timestamp"))
 
 
 @query("sm07_tumbling_counts", """SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2""")

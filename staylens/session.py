@@ -7,7 +7,6 @@ import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import broadcast
 
 
 def local_session(cpus: int | str = 8, app: str = "staylens") -> SparkSession:
@@ -20,6 +19,7 @@ def local_session(cpus: int | str = 8, app: str = "staylens") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000")
         .config("spark.driver.memory", os.environ.get("STAYLENS_DRIVER_MEMORY", "8g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.warehouse.dir", tempfile.gettempdir() + "/staylens-warehouse")
@@ -49,20 +49,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="staylens-ckpt-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
 
 
-BROADCAST_ROWS = 1_000_000  # narrow registry rows, some tens of megabytes as a hash table
-
-
-def broadcast_up_to(df, counted, rows: int = BROADCAST_ROWS):
-    """Hint a broadcast when `counted`, the table that bounds the rows of `df`, is small; the count reads file footers
-    only. A larger side is left to Spark's own choice of join."""
-    return broadcast(df) if counted.count() <= rows else df
-
-
 def materialise(df):
     """Cut the lineage of an intermediate result that several branches read: stored in the shared checkpoint folder, so
     it outlives a lost executor and is not computed again per branch."""

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staylens.functions import metrics as X
-from staylens.session import broadcast_up_to
 
 
 # Words of the synthetic listing cards.
@@ -42,8 +41,7 @@ class Tables:
         k = F.col("s_suppkey")
         geo = self.raw("nation").join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         kinds = F.array(*[F.lit(x) for x in ("hotel", "hostel", "guesthouse", "apartment")])
-        supplier = self.raw("supplier")
-        registry = supplier.join(geo, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        registry = self.raw("supplier").join(geo, F.col("s_nationkey") == F.col("n_nationkey")).select(
             k.cast("string").alias("id"),
             F.col("s_name").alias("name"),
             F.col("n_name").alias("city"),
@@ -55,7 +53,7 @@ class Tables:
             F.try_element_at(kinds, (k % 6 + 1).cast("int")).alias("accommodation_type"),
             F.when(k % 3 != 0, F.concat(F.lit("https://img.example/"), k.cast("string"))).alias("image_url"),
         )
-        return broadcast_up_to(registry, supplier)
+        return registry
 
     @cached_property
     def stats(self) -> DataFrame:

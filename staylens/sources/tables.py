@@ -100,10 +100,10 @@ def model_holidays(dates: DataFrame, events: DataFrame) -> DataFrame:
     span = dates.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     days = span.select(F.explode(F.sequence("lo", F.date_add("hi", 90))).alias("date"))
     public = days.filter(D.is_holiday(F.col("date"))).select(
-        "date", F.left(D.holiday_name(F.col("date")), F.lit(30)).alias("holiday"), F.lit(-2).alias("lower_window"),
+        "date", D.holiday_name(F.col("date")).alias("holiday"), F.lit(-2).alias("lower_window"),
         F.lit(2).alias("upper_window"), F.lit(0).alias("_rank"), F.lit("").alias("_id"))
     other = events.filter(F.col("date_start").isNotNull()).select(
-        F.col("date_start").alias("date"), F.left("title", F.lit(30)).alias("holiday"), F.lit(0).alias("lower_window"),
+        F.col("date_start").alias("date"), F.col("title").alias("holiday"), F.lit(0).alias("lower_window"),
         F.lit(0).alias("upper_window"), F.lit(1).alias("_rank"), F.col("event_id").alias("_id"))
     best = F.min_by(F.struct("holiday", "lower_window", "upper_window"), F.struct("_rank", "_id")).alias("r")
     return public.unionByName(other).groupBy("date").agg(best).select("date", "r.*")

@@ -99,3 +99,25 @@ def test_token_set_ratio():
 def test_student_quantile():
     assert stats.student_quantile(0.975, 10) == pytest.approx(2.228139, abs=1e-5)
     assert stats.student_quantile(0.975, 1) == pytest.approx(12.7062, abs=1e-3)
+
+
+def test_texts_are_not_cut(spark):
+    from staylens.functions import text as S
+    from pyspark.sql import functions as F
+
+    long = "слово " * 400
+    df = spark.createDataFrame([(long + "конец один",), (long + "конец два",)], "t string")
+    r = df.select(S.title_key("t").alias("k"), S.clean_text("t").alias("c"), S.clean_html("t").alias("h"), S.redact("t").alias("r"), S.clean_text("t", 20).alias("s")).collect()
+    assert r[0].k != r[1].k and all(x.c.endswith(("один", "два")) and x.h == x.c and len(x.r) > 2000 for x in r)
+    assert all(len(x.s) == 20 and x.s.endswith("...") for x in r)
+
+
+def test_slug_table_and_places(spark):
+    from staylens.functions import text as S
+    from staylens.operators import extraction as X
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("Щёлково, объезд-2 №1", "Где: ул. Ленина 5\nтеатр", "📍 Дом кино\nМесто: парк", "Приходите. В большой театр «Муза» сегодня")], "a string, b string, c string, d string")
+    r = df.select(S.ascii_slug("a").alias("a"), S.location_from_block("b").alias("b"), X.post_location(F.col("c")).alias("c"), X.post_location(F.col("d")).alias("d")).first()
+    assert (r.a, r.b, r.c) == ("schyolkovo_obezd_2_1", "ул. Ленина 5", "Дом кино")
+    assert r.d == "большой театр «Муза»"

@@ -4,7 +4,6 @@ import itertools
 import random
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from staylens.functions.similarity import token_set_ratio
@@ -66,7 +65,8 @@ def test_top_k_equals_sorting(spark):
         assert [r["id"] for r in got.filter(F.col("query_id") == q).orderBy("rank").collect()] == [i for _, i in sorted(sims)[:7]]
 
 
-def test_too_many_queries_are_refused(spark):
-    q = spark.range(1001).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("embedding"))
-    with pytest.raises(ValueError):
-        Q.top_k(spark.createDataFrame([(1, [1.0])], "id long, embedding array<double>"), q, 1)
+def test_top_k_takes_any_number_of_queries(spark):
+    q = spark.range(1001).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    d = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(1001)], "id long, embedding array<double>")
+    got = {r["query_id"]: r["id"] for r in Q.top_k(d, q, 1).collect()}
+    assert got == {i: i for i in range(1001)}

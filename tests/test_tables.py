@@ -133,3 +133,48 @@ def test_walk_forward_folds(spark):
     assert {k: v[0] for k, v in folds.items()} == {1: 14, 2: 14, 3: 14, 4: 14, 5: 14}
     assert folds[5][1] == DAY + dt.timedelta(days=136) and folds[1][1] == DAY + dt.timedelta(days=80)
     assert MO.cross_validation_report(pairs).first()["fold_count"] == 5
+
+
+def test_rate_limit_orders_a_key_over_arrow_batches(spark, tmp_path):
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rnd = random.Random(4)
+        rows = [(1, i, rnd.random() * 500) for i in range(100)]
+        df = spark.createDataFrame(rows, "key long, request_id long, s double").select("key", "request_id", F.timestamp_seconds(F.col("s") + 1e9).alias("event_time"))
+        got = {r["request_id"]: r["allowed"] for r in run(spark, tmp_path, ST.rate_limit(stream_of(spark, tmp_path, df.coalesce(1), "many"), 3, 60.0), "many").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    order = sorted(rows, key=lambda r: r[2])
+    decided, _ = ST.allowed_instants([r[2] for r in order], [], 3, 60.0)
+    assert got == {r[1]: d for r, d in zip(order, decided)}
+
+
+def test_health_verdict():
+    good = (5, 0, 0, 10, 10.0, 0.0)
+    assert ST.healthy(good, 3600.0) and not ST.healthy(good, 25 * 3600.0)
+    assert not ST.healthy((5, 3, 3, 10, 10.0, 0.0), 1.0) and not ST.healthy((5, 0, 0, 2, 10.0, 0.0), 1.0)
+
+
+def test_gaps_and_missing_months(spark):
+    from staylens.operators import market as K
+
+    df = spark.sql("SELECT explode(sequence(DATE '1997-01-01', DATE '1997-12-31')) AS date, 'A' AS district").filter("date NOT BETWEEN '1997-06-24' AND '1997-10-25'")
+    assert [tuple(map(str, r)) for r in K.gaps(df, 7).collect()] == [("1997-06-23", "1997-10-26", "125")]
+
+
+def test_changed_event_arrives_later(spark, tmp_path):
+    """A later version of an id, in a later delivery, reaches the table."""
+    from staylens import model as M
+    from staylens.operators import upsert as U
+
+    table = U.events_table(spark, str(tmp_path / "table"))
+    columns = [c.split()[0] for c in M.CAL_EVENTS.split(", ")]
+    for n, price in enumerate((100, 250)):
+        row = spark.sql(f"SELECT 'e1' AS event_id, 'T' AS title, DATE '2024-05-01' AS date_start, 'src' AS source_id, {price} AS price_min, timestamp'2024-04-01' AS ingest_ts, {n}L AS ingest_order")
+        for f in spark.createDataFrame([], M.CAL_EVENTS).schema.fields:
+            if f.name not in row.columns:
+                row = row.withColumn(f.name, F.lit(None).cast(f.dataType))
+        stream = stream_of(spark, tmp_path, row.select(*columns, "ingest_ts", "ingest_order"), f"d{n}")
+        J.drain(J.ingest_events(stream, table), str(tmp_path / f"cp{n}"))
+    assert [(r.event_id, r.price_min) for r in spark.read.parquet(table.path).collect()] == [("e1", 250)]
