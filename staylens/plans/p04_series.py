@@ -272,9 +272,19 @@ def _(t):
     return T.with_future_dates(occ(t), 14)
 
 
-@query("wn22_holdout_features")
+BASE22 = "SELECT district, date, " + ", ".join(f"lag(y, {n}) OVER {W_ % ''} AS lag_{n}" for n in M.LAG_DAYS) + f""", lag(y, 1) OVER {W_ % ''} - lag(y, 2) OVER {W_ % ''} AS diff_1,
+    lag(y, 1) OVER {W_ % ''} - lag(y, 8) OVER {W_ % ''} AS diff_7, avg(y) OVER {W_ % ' ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING'} AS rolling_mean_7,
+    max(y) OVER {W_ % ' ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING'} AS rolling_max_7, row_number() OVER (PARTITION BY district ORDER BY date DESC) AS rn, y FROM {YS}"""
+TRAIN22 = lambda c: f"last_value(CASE WHEN rn > 14 THEN {c} END IGNORE NULLS) OVER {W_ % ' ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING'}"
+KEPT22 = ("district", "date", "is_test", *[f"lag_{n}" for n in M.LAG_DAYS], "diff_1", "diff_7", "rolling_mean_7", "rolling_max_7")
+
+
+@query("wn22_holdout_features", f"SELECT district, CAST(date AS VARCHAR) AS date, rn <= 14 AS is_test, " + ", ".join(
+    f"round(CASE WHEN rn <= 14 AND 14 - rn - {n} >= 0 THEN {TRAIN22('y')} ELSE lag_{n} END, 6) AS lag_{n}" for n in M.LAG_DAYS) + ", " + ", ".join(
+    f"round(CASE WHEN rn <= 14 THEN 0 ELSE diff_{n} END, 6) AS diff_{n}" for n in M.DIFF_DAYS) + ", " + ", ".join(
+    f"round(CASE WHEN rn <= 14 THEN {TRAIN22(c)} ELSE {c} END, 6) AS {c}" for c in ("rolling_mean_7", "rolling_max_7")) + f" FROM ({BASE22})")
 def _(t):
-    return T.holdout_features(T.rolling_features(T.lag_features(occ(t).withColumnRenamed("occupancy", "y"))))
+    return T.holdout_features(T.rolling_features(T.lag_features(occ(t).withColumnRenamed("occupancy", "y")))).select(*KEPT22)
 
 
 # --- forecasts --------------------------------------------------------------------------------------------------------
@@ -341,8 +351,11 @@ def _(t):
     return C.weighted_average(t.forecasts, weights(t))
 
 
-@query("ml07_best_model", f"""WITH b AS (SELECT district, arg_min(model, rmse) AS model FROM {WEIGHTS} GROUP BY district) SELECT f.district, f.model, CAST(forecast_date AS VARCHAR) AS forecast_date,
-    round(predicted_occupancy, 6) AS predicted_occupancy FROM forecasts f JOIN b ON b.district = f.district AND b.model = f.model""")
+@query("ml07_best_model", """WITH p AS MATERIALIZED (SELECT district, model, forecast_date, predicted_occupancy AS f FROM forecasts),
+    d AS MATERIALIZED (SELECT district, date, occupancy AS a FROM district_daily),
+    e AS (SELECT p.district, p.model, sqrt(avg((f - a) ** 2)) AS rmse FROM p JOIN d ON d.district = p.district AND d.date = p.forecast_date GROUP BY 1, 2),
+    b AS (SELECT district, arg_min(model, (rmse, model)) AS model FROM e GROUP BY district)
+    SELECT p.district, p.model, CAST(forecast_date AS VARCHAR) AS forecast_date, round(f, 6) AS predicted_occupancy FROM p JOIN b ON b.district = p.district AND b.model = p.model""")
 def _(t):
     return C.best_model(t.forecasts, weights(t)).select("district", "model", "forecast_date", "predicted_occupancy")
 
