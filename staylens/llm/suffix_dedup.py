@@ -186,7 +186,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tup
     chosen = least[whole]
     chosen = (chosen[C.first_of_run(chosen)] & np.uint64((1 << bits) - 1)).astype(np.int64)
     chosen = chosen[C.first_of_run(chosen)]
-    return np.searchsorted(offsets, chosen, side="right") - 1, chosen, value[chosen]
+    # chosen hashes are small; mixed again they spread over all ranges
+    return np.searchsorted(offsets, chosen, side="right") - 1, chosen, C.mix(value[chosen], 7)
 
 
 def gram_of(width: int) -> int:
