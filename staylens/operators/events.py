@@ -165,12 +165,11 @@ def merge_groups(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def exact_dedup(events: DataFrame, district: Column) -> DataFrame:
-    """SO-04: one row per (title key, start date, district); rows without a usable title pass through."""
+    """SO-04: one row per (title key, start date, district). A row without a usable title is a group of its own, so one
+    aggregate over one scan serves both."""
     keyed = events.withColumn("title_key", S.title_key("title")).withColumn("district", district)
-    merged = merge_groups(keyed.filter(F.col("title_key") != ""), ["title_key", "date_start", "district"])
-    names = ["district", "title_key", *EVENT_COLUMNS]
-    empty = keyed.filter(F.coalesce("title_key", F.lit("")) == "").select(*names)
-    return merged_columns(merged).unionByName(empty.withColumn("also_at", F.array().cast("array<string>")))
+    alone = F.when(F.coalesce("title_key", F.lit("")) == "", F.col("event_id"))
+    return merged_columns(merge_groups(keyed.withColumn("_alone", alone), ["title_key", "date_start", "district", "_alone"]))
 
 
 def merged_columns(merged: DataFrame) -> DataFrame:
