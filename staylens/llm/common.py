@@ -243,6 +243,12 @@ def first_of_run(values: np.ndarray) -> np.ndarray:
     return np.concatenate(([True], values[1:] != values[:-1]))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Different values, ascending: sorting integers is faster than hashing them."""
+    values = np.sort(values)
+    return values[first_of_run(values)]
+
+
 def union_find(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest member of each element's component under the links a-b."""
     label = np.arange(n)

@@ -134,7 +134,7 @@ def removal(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words:
             return C.messages([])
         lines, bundle, late = Lines(docs_table, id, text), docs_table.column(C.BUNDLE)[0].as_py(), late_lines(replies)
         out = [(bundle % blocks, -1 - bundle, C.pack(late))] if len(late) else []
-        cell = np.unique(keyed(lines, late)[3])
+        cell = C.distinct(keyed(lines, late)[3])
         block = (cell >> np.uint64(32)).astype(np.int64)
         cut = np.flatnonzero(C.first_of_run(block))
         for lo, hi in zip(cut, np.append(cut[1:], len(cell))):
@@ -168,9 +168,12 @@ def removal(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words:
         out = [(bundle % blocks, -1 - bundle, C.pack(late))] if len(late) else []
         key, line, position, cell = keyed(lines, late)
         wanted = [(np.uint64(block) << np.uint64(32)) | C.unpack(blob, np.uint32)[0].astype(np.uint64) for block, _, blob in C.entries(replies) if block >= 0]
-        order = np.lexsort((line, cell))
-        own = cell[order[C.first_of_run(cell[order]) | C.first_of_run(line[order])]]  # once for each line
-        wanted = np.unique(np.concatenate([own[1:][own[1:] == own[:-1]], *wanted]))
+        twice = np.sort(cell)
+        twice = C.distinct(twice[1:][twice[1:] == twice[:-1]])
+        here = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, cell), len(twice) - 1)] == cell) if len(twice) else np.zeros(0, np.int64)
+        here = here[np.lexsort((line[here], cell[here]))]
+        own = cell[here[C.first_of_run(cell[here]) | C.first_of_run(line[here])]]  # once for each line
+        wanted = C.distinct(np.concatenate([own[1:][own[1:] == own[:-1]], *wanted]))
         if not len(wanted):
             return C.messages(out)
         at = np.minimum(np.searchsorted(wanted, cell), len(wanted) - 1)
@@ -246,7 +249,7 @@ def removal(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words:
                     tell(e, whole[0])
         for b, found in replies.items():
             lead = np.array([e for e, _ in found.values()])
-            near = [np.unique(np.concatenate(m)) for _, m in found.values()]
+            near = [C.distinct(np.concatenate(m)) for _, m in found.values()]
             sent = [texts[i] for i in found]
             top = C.pack(np.array([len(m) for m in near], np.int32), doc[lead], number[lead], np.array([len(x) for x in sent], np.int32))
             out.append((0, b, top + C.pack(np.concatenate(near)) + b"".join(sent)))

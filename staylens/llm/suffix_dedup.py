@@ -332,7 +332,7 @@ def removal(docs: DataFrame, width: int = 100, id: str = "doc_id", text: str = "
         if len(many):
             count = end[many] - start[many] - width + 1
             single = np.repeat(start[many] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
-            single = np.unique(single)
+            single = C.distinct(single)
             hashed = C.mix(C.Rolling(shard.data[:n], 0x5851F42D4C957F2D).of(single, single + width))
             first, last, route = np.append(first, single), np.append(last, single + width), np.append(route, hashed)
         by = np.argsort(route, kind="stable")
