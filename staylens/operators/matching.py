@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,13 +54,13 @@ def fuzzy_pairs(titles: DataFrame, bucket: Sequence[str], key: str = "title_key"
     return pairs.filter(token_set_ratio_column(F.col("a"), F.col("b")) > FUZZY_THRESHOLD)
 
 
-def connected_groups(pairs: DataFrame, keys: Sequence[str], max_rounds: int = 100) -> DataFrame:
+def connected_groups(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Smallest member of the connected group of every node. Each round a node takes the smallest label among itself and
     its neighbours and then that label's own label, so chains shrink by more than half; rounds stop when none changes.
     Labels are stored in the shared checkpoint folder each round."""
     edges = materialise(pairs.select(*keys, "a", "b").union(pairs.select(*keys, F.col("b"), F.col("a"))).distinct())
     labels = materialise(edges.groupBy(*keys, F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
-    for _ in range(max_rounds):
+    while True:
         near = edges.join(labels.withColumnRenamed("node", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("label").alias("m"))
         hop = labels.join(near, [*keys, "node"], "left").select(*keys, "node", "label", F.least("label", F.coalesce("m", "label")).alias("next"))
         jump = labels.select(*keys, F.col("node").alias("next"), F.col("label").alias("far"))
@@ -68,7 +69,6 @@ def connected_groups(pairs: DataFrame, keys: Sequence[str], max_rounds: int = 10
         labels = moved.select(*keys, "node", F.col("next").alias("label"))
         if changed == 0:
             return labels
-    raise RuntimeError(f"groups did not settle within {max_rounds} rounds")
 
 
 def fuzzy_dedup(exact: DataFrame) -> DataFrame:
@@ -128,9 +128,10 @@ def same_place(left: DataFrame, right: DataFrame, salts: int = 64) -> DataFrame:
     return ranked(left, "l").join(ranked(right, "r"), ["lat", "lon", "salt", "k"]).select("l", "r", F.lit(0.0).alias("km"))
 
 
-def match_one_to_one(left: DataFrame, right: DataFrame, radius_km: float = 0.3, max_rounds: int = 100) -> DataFrame:
+def match_one_to_one(left: DataFrame, right: DataFrame, radius_km: float = 0.3) -> DataFrame:
     """JN-08: each row is used once; in every round the pairs that are each other's nearest free candidate (ties by id)
-    are taken, until no free pair within the radius is left. The outcome does not depend on the order of the rows.
+    are taken, until no free pair within the radius is left: a round takes the closest open pair at least, so rounds end. The
+    outcome does not depend on the order of the rows.
     Inputs: (id, lat, lon)."""
     placed = lambda df: df.filter((F.col("lat") != 0) & (F.col("lon") != 0)).select("id", "lat", "lon")
     left, right = placed(left), placed(right)
@@ -139,20 +140,15 @@ def match_one_to_one(left: DataFrame, right: DataFrame, radius_km: float = 0.3,
     free_r = right.join(taken.select(F.col("r").alias("id")), "id", "left_anti")
     open_pairs = materialise(pairs_within(free_l, free_r, radius_km))
     found = [taken]
-    for _ in range(max_rounds):
-        if open_pairs.limit(1).count() == 0:
-            break
+    while open_pairs.limit(1).count():
         best_l = open_pairs.groupBy("l").agg(F.min(F.struct("km", "r")).alias("b")).select("l", F.col("b.r").alias("r"), F.col("b.km").alias("km"))
         best_r = open_pairs.groupBy("r").agg(F.min(F.struct("km", "l")).alias("b")).select("r", F.col("b.l").alias("l"))
         round_pairs = materialise(best_l.join(best_r, ["l", "r"]).select("l", "r", "km"))
         found.append(round_pairs)
+        if len(found) > 20:  # a long chain settles one pair a round
+            found = [materialise(reduce(DataFrame.unionByName, found))]
         open_pairs = materialise(open_pairs.join(round_pairs.select("l"), "l", "left_anti").join(round_pairs.select("r"), "r", "left_anti"))
-    else:
-        raise RuntimeError(f"matching did not settle within {max_rounds} rounds")
-    out = found[0]
-    for df in found[1:]:
-        out = out.unionByName(df)
-    return out
+    return reduce(DataFrame.unionByName, found)
 
 
 def fill_types(hotels: DataFrame, catalogue: DataFrame, radius_km: float = 0.5) -> tuple[DataFrame, DataFrame]:

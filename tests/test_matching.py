@@ -70,3 +70,16 @@ def test_top_k_takes_any_number_of_queries(spark):
     d = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(1001)], "id long, embedding array<double>")
     got = {r["query_id"]: r["id"] for r in Q.top_k(d, q, 1).collect()}
     assert got == {i: i for i in range(1001)}
+
+
+def test_long_chain_of_shrinking_distances(spark):
+    """Every round settles one pair only: more rounds than frames are kept apart."""
+    step, at, left, right = 0.0004, 52.0, [], []
+    for i in range(26):
+        left.append((f"l{i:02d}", at, 104.0))
+        right.append((f"r{i:02d}", at + step * 0.999 ** (2 * i), 104.0))
+        at += step * (0.999 ** (2 * i) + 0.999 ** (2 * i + 1))
+    schema = "id string, lat double, lon double"
+    pairs = G.match_one_to_one(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), 0.3)
+    got = {(r["l"], r["r"]) for r in pairs.collect()}
+    assert len(got) >= 25 and len({a for a, _ in got}) == len(got) == len({b for _, b in got})
