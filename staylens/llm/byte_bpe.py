@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from staylens.llm import common as C
 
-CHUNK, OVERLAP, REMEMBERED = 1 << 15, 1 << 9, 200_000
+CHUNK, OVERLAP, REMEMBERED = 1 << 15, 1 << 9, 100_000
 
 
 class Coder:

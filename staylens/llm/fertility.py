@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from staylens.llm import common as C
 from staylens.session import materialise
 
-REMEMBERED, MIN_TOKENS, MIN_TEXTS = 200_000, 200, 30
+REMEMBERED, MIN_TOKENS, MIN_TEXTS, MAX_BANDS = 100_000, 200, 30, 10_000
 WIDE, LOW_CHARS, LOW_ENTROPY = 6.0, 3.0, 1.0
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -54,16 +54,16 @@ class Vocabularies:
         return cls._made[shared.value]
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known = {}
         count, read = self.ranks.encode_ordinary, [w.decode() for w in words]
         for w, t, ids in zip(words, read, self.pieces.encode(read, num_threads=1)):
             self.known[w] = np.array([-len(count(" " + t)), *ids], np.int32).tobytes()
 
     def ids(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         distinct = {w for words in texts for w in words}
-        self.learn(list(distinct.difference(self.known)))
-        self.learn(list(distinct.difference(self.known)))  # what made room for the others
+        missing = distinct.difference(self.known)
+        if len(self.known) + len(missing) > REMEMBERED:
+            self.known, missing = {}, distinct
+        self.learn(list(missing))
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, words)), np.int32) for words in texts]
 
@@ -157,7 +157,10 @@ def judged(found: DataFrame, lang: str = "lang") -> DataFrame:
     quartiles = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(m) for m in MEASURES]
     bands = steady.groupBy(lang).agg(F.count(F.lit(1)).alias("texts"), *quartiles).where((F.col("texts") >= MIN_TEXTS) & F.col(lang).isNotNull())
     every = steady.agg(F.struct(*quartiles).alias("every"))
-    joined = found.join(F.broadcast(every)).join(bands.select(F.col(lang).alias("__lang"), F.struct(*MEASURES).alias("own")), F.col(lang) == F.col("__lang"), "left")
+    bands = materialise(bands.select(F.col(lang).alias("__lang"), F.struct(*MEASURES).alias("own")))
+    if bands.count() <= MAX_BANDS:  # one row a language; more than so many are joined by a shuffle
+        bands = F.broadcast(bands)
+    joined = found.join(F.broadcast(every)).join(bands, F.col(lang) == F.col("__lang"), "left")
     off = {}  # distance from the quartiles in units of theirs, negative below
     for m in MEASURES:
         low, middle, high = (F.coalesce(F.col("own")[m], F.col("every")[m])[i] for i in range(3))

@@ -437,3 +437,14 @@ def test_flat_and_bundles(docs, rows):
     assert (start.tolist(), end.tolist(), first.tolist()) == ([0, 2, 3, 5], [1, 3, 4, 6], [0, 2, 2, 4])
     dealt, n = C.bundled(docs, 3000)
     assert n > 5 and dealt.count() == len(rows)
+
+
+def test_forgetting_words_changes_no_measure(monkeypatch):
+    read = lambda p: open(p, "rb").read()
+    column = pa.array([t for _, t in corpus()], pa.string())
+    whole = fertility.measures(column, fertility.Vocabularies(read(PIECES), read(RANKS), public_tokenizers.PATTERN))
+    monkeypatch.setattr(fertility, "REMEMBERED", 5)
+    few = fertility.Vocabularies(read(PIECES), read(RANKS), public_tokenizers.PATTERN)
+    for _ in range(2):
+        again = fertility.measures(column, few)
+        assert all((whole[k] == again[k]).all() for k in whole)
