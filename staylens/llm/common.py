@@ -249,6 +249,19 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[first_of_run(values)]
 
 
+def grouped(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of entries by (key, check), stable, and the mask of the first of each group. One sort of the leading bits with the
+    index behind them; if these bits join different keys, a full sort."""
+    bits = max(1, len(key).bit_length())
+    packed = np.sort((key >> U64(bits) << U64(bits)) | np.arange(len(key), dtype=U64))
+    order = (packed & U64((1 << bits) - 1)).astype(np.int64)
+    head = first_of_run(key[order]) | first_of_run(check[order])
+    if (head & ~first_of_run(packed >> U64(bits))).any():
+        order = np.lexsort((check, key))
+        head = first_of_run(key[order]) | first_of_run(check[order])
+    return order, head
+
+
 def union_find(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest member of each element's component under the links a-b."""
     label = np.arange(n)

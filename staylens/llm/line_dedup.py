@@ -94,7 +94,7 @@ def removal(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words:
     """The columns of `docs`, with the remaining lines as text, and `n_lines`, `n_removed`, `n_near` (removed, but not equal to an
     earlier line). A null text stays null."""
     dealt, bundles = C.bundled(docs, bundle_bytes, id, text)
-    blocks = max(1, bundles // 2)
+    blocks = max(min(bundles, 32), bundles // 8)
     bits = min(32, max(16, (bundles * bundle_bytes // (6 * blocks)).bit_length() + 6))
 
     def equal(table: pa.Table) -> pa.Table:

@@ -46,11 +46,10 @@ class Windows:
         self.check = (C.mix(C.Rolling(hashes, 0x2545F4914F6CDD1D).of(self.at, self.at + width), 1) >> np.uint64(32)).astype(np.uint32)
         self.width = width
 
-    def distinct(self, chosen: np.ndarray | None = None) -> np.ndarray:
-        """Of the chosen windows, the first of each key, in order of keys; ids ascend, so it has the smallest one."""
-        at = np.arange(len(self.key)) if chosen is None else np.flatnonzero(chosen)
-        order = at[np.lexsort((at, self.check[at], self.key[at]))]
-        return order[C.first_of_run(self.key[order]) | C.first_of_run(self.check[order])]
+    def distinct(self) -> np.ndarray:
+        """The first window of each key, in order of keys; ids ascend, so it has the smallest one."""
+        order, head = C.grouped(self.key, self.check)
+        return order[head]
 
 
 def cells(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,9 +59,9 @@ def cells(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted(cell: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counters touched, ascending, with their sums up to two."""
-    order = np.argsort(cell, kind="stable")
-    cell, times = cell[order], times[order]
+    """Counters touched, ascending, with their sums up to two. `times` are 1 or 2."""
+    packed = np.sort((cell.astype(np.uint64) << np.uint64(2)) | times.astype(np.uint64))
+    cell, times = packed >> np.uint64(2), (packed & np.uint64(3)).astype(np.int64)
     head = np.flatnonzero(C.first_of_run(cell))
     return cell[head], np.minimum(np.add.reduceat(times, head), 2) if len(head) else times
 
@@ -70,26 +69,34 @@ def counted(cell: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def removal(docs: DataFrame, width: int = 13, id: str = "doc_id", text: str = "text", bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """The columns of `docs` and `n_words`, `n_removed`, `kept` (kept words joined by one space)."""
     dealt, bundles = C.bundled(docs, bundle_bytes, id, text)
-    blocks = max(1, bundles // 2)
+    blocks = max(min(bundles, 32), bundles // 8)
     row = 1 << max(10, (CELLS * bundles * bundle_bytes // (BYTES_PER_WINDOW * blocks)).bit_length() - 1)
 
-    def sketch_of(w: Windows):
-        """For each range: touched counters and their sums, in both rows."""
-        order = np.lexsort((w.doc, w.check, w.key))
-        new_key = C.first_of_run(w.key[order]) | C.first_of_run(w.check[order])
-        fresh = new_key | C.first_of_run(w.doc[order])
-        order = order[fresh]  # each window once per document
+    def places(key: np.ndarray) -> list[np.ndarray]:
+        """Counters of keys in both rows, with the range of the key in front."""
+        block = C.block_of(key, blocks).astype(np.uint64) << np.uint64(32)
+        return [block | c.astype(np.uint64) for c in cells(key, row)]
+
+    def sketch_of(w: Windows) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Touched counters and their sums, in both rows."""
+        order, new_key = C.grouped(w.key, w.check)
+        fresh = new_key | C.first_of_run(w.doc[order])  # each window once per document
         head = np.flatnonzero(new_key[fresh])
-        key, times = w.key[order[head]], np.diff(np.append(head, len(order))).astype(np.int64)
-        for block, lo, hi in zip(*C.by_block(key, blocks)):
-            yield int(block), lo, hi, key, [counted(c, times[lo:hi]) for c in cells(key[lo:hi], row)]
+        order = order[fresh]
+        times = np.minimum(np.diff(np.append(head, len(order))), 2)
+        return [counted(at, times) for at in places(w.key[order[head]])]
+
+    def cuts(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        block = (cell >> np.uint64(32)).astype(np.int64)
+        lo = np.flatnonzero(C.first_of_run(block))
+        return block[lo], lo, np.append(lo[1:], len(cell)) if len(lo) else lo
 
     def sketch(table: pa.Table) -> pa.Table:
-        bundle = table.column(C.BUNDLE)[0].as_py()
-        out = []
-        for block, _, _, _, rows in sketch_of(Windows(table, width, id, text)):
-            out.append((block, bundle, b"".join(C.pack(np.diff(cell, prepend=np.uint32(0)), times.astype(np.uint8)) for cell, times in rows)))
-        return C.messages(out)
+        bundle, parts_of = table.column(C.BUNDLE)[0].as_py(), {}
+        for cell, times in sketch_of(Windows(table, width, id, text)):
+            for block, lo, hi in zip(*cuts(cell)):
+                parts_of.setdefault(int(block), []).append(C.pack(np.diff(cell[lo:hi].astype(np.uint32), prepend=np.uint32(0)), times[lo:hi].astype(np.uint8)))
+        return C.messages((block, bundle, b"".join(p)) for block, p in parts_of.items())
 
     def parts(blob: bytes):
         first = C.unpack(blob, np.uint32, np.uint8)
@@ -113,20 +120,16 @@ def removal(docs: DataFrame, width: int = 13, id: str = "doc_id", text: str = "t
         if not docs_table.num_rows or not replies.num_rows:
             return C.messages([])
         w = Windows(docs_table, width, id, text)
-        flags = {block: np.unpackbits(np.frombuffer(blob, np.uint8)) for block, _, blob in C.entries(replies)}
-        distinct = w.distinct()
-        chosen = np.zeros(len(distinct), bool)
-        at = dict(zip(*(x.tolist() for x in C.by_block(w.key[distinct], blocks)[:2])))
-        for block, _, _, key, rows in sketch_of(w):
-            if block in flags:
-                lo = at[block]
-                hi = lo + int((C.block_of(w.key[distinct[lo:]], blocks) == block).sum())
-                both = np.ones(hi - lo, bool)
-                skip = 0
-                for c, (cell, _) in zip(cells(w.key[distinct[lo:hi]], row), rows):
-                    both &= flags[block][skip + np.searchsorted(cell, c)] == 1
-                    skip += len(cell)
-                chosen[lo:hi] = both
+        replied = {block: np.unpackbits(np.frombuffer(blob, np.uint8)) == 1 for block, _, blob in C.entries(replies)}
+        distinct, skip = w.distinct(), dict.fromkeys(replied, 0)
+        chosen = np.ones(len(distinct), bool)
+        for (cell, _), at in zip(sketch_of(w), places(w.key[distinct])):
+            repeated = np.zeros(len(cell), bool)
+            for block, lo, hi in zip(*(x.tolist() for x in cuts(cell))):
+                if block in replied:
+                    repeated[lo:hi] = replied[block][skip[block] : skip[block] + hi - lo]
+                    skip[block] += hi - lo
+            chosen &= repeated[np.searchsorted(cell, at)]
         distinct = distinct[chosen]
         out, bundle = [], docs_table.column(C.BUNDLE)[0].as_py()
         for block, lo, hi in zip(*C.by_block(w.key[distinct], blocks)):
@@ -154,8 +157,8 @@ def removal(docs: DataFrame, width: int = 13, id: str = "doc_id", text: str = "t
         elsewhere = np.zeros(len(w.start), bool)
         for _, _, blob in C.entries(replies):
             elsewhere[C.unpack(blob, np.int32)[0]] = True
-        order = np.lexsort((np.arange(len(w.key)), w.check, w.key))
-        head = np.flatnonzero(C.first_of_run(w.key[order]) | C.first_of_run(w.check[order]))
+        order, new = C.grouped(w.key, w.check)
+        head = np.flatnonzero(new)
         first = np.repeat(order[head], np.diff(np.append(head, len(order))))
         gone = order[elsewhere[w.at[first]] | (w.doc[order] > w.doc[first])]
         drop = C.covered(len(w.start), w.at[gone], w.at[gone] + width)

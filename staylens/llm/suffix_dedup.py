@@ -260,7 +260,7 @@ def merge_sorted(runs: list[np.ndarray]) -> np.ndarray:
 def removal(docs: DataFrame, width: int = 100, id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """The columns of `docs` and `n_bytes`, `n_removed`, `n_spans`, `spans` (byte ranges), `kept` (binary)."""
     dealt, shards = C.bundled(docs, shard_bytes, id, text)
-    blocks = max(1, shards // 4)
+    blocks = max(min(shards, 32), shards // 16)
 
     def local(table: pa.Table) -> pa.Table:
         bundle = table.column(C.BUNDLE)[0].as_py()

@@ -137,7 +137,16 @@ def test_sketch_never_underestimates():
     cell, _ = substring_dedup.cells(key, 256)
     touched, times = substring_dedup.counted(cell, np.ones(5000, np.int64))
     true = np.bincount(cell, minlength=256)
-    assert (times == np.minimum(true[touched], 2)).all()
+    assert (times == np.minimum(true[touched.astype(np.int64)], 2)).all()
+
+
+def test_grouped_equals_a_full_sort():
+    r = np.random.default_rng(2)
+    key, check = r.integers(0, 50, 3000).astype(np.uint64) << np.uint64(3), r.integers(0, 2, 3000).astype(np.uint32)
+    for k in (key, C.mix(key)):
+        order, head = C.grouped(k, check)
+        want = np.lexsort((check, k))
+        assert (k[order] == k[want]).all() and (check[order] == check[want]).all() and head.sum() == len(set(zip(k.tolist(), check.tolist())))
 
 
 @pytest.mark.parametrize("size", [1500, 1 << 20])
