@@ -1,6 +1,7 @@
 """Near-duplicate lines by deletion neighbourhoods; the earliest stays.
 
-A line is the words between two newlines. Lines of fewer than `min_words` words are never removed. A line goes if the same words
+A line is the words between two newlines; each character of a script that is written without spaces (Han, kana, Thai, Lao,
+Burmese, Khmer) is a word of its own. Lines of fewer than `min_words` words are never removed (1: all with a word are judged). A line goes if the same words
 form an earlier line (smaller id, or same id and earlier line), or if both have `fuzzy_words` words or more and differ by one edit: a
 word put in, left out or replaced, which covers any edit inside one word. Lines are judged on the input, not on what is
 left.
@@ -32,6 +33,40 @@ BASE, OTHER = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
 LENGTH = np.uint64(0xD6E8FEB86659FD93)
 
 
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """First bytes of the characters of scripts without spaces, as the lengths of the characters, else 0."""
+    out = np.zeros(len(data), np.int64)
+    at = np.flatnonzero(data >= 0xE0)  # E0 and above begin characters of three and four bytes
+    lead, second = data[at], data[np.minimum(at + 1, len(data) - 1)]
+    three = (lead == 0xE0) & (second >= 0xB8) & (second <= 0xBB)  # Thai, Lao
+    three |= (lead == 0xE1) & ((second >= 0x80) & (second <= 0x82) | (second == 0x9E) | (second == 0x9F))  # Burmese, Khmer
+    three |= (lead == 0xE3) & (second >= 0x81) | (lead >= 0xE4) & (lead <= 0xE9)  # kana, Han
+    three |= (lead == 0xEF) & (second >= 0xA4) & (second <= 0xAB)  # compatibility forms of Han
+    out[at[three]] = 3
+    out[at[(lead == 0xF0) & (second >= 0xA0) & (second <= 0xB3)]] = 4  # further planes of Han
+    return out
+
+
+def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of texts laid end to end, those of scripts without spaces cut into characters."""
+    start, end, _ = C.words(data, offsets)
+    size = unspaced(data)
+    single = np.flatnonzero(size)
+    if not len(single):
+        return start, end
+    # a cut lies before and behind each such character, unless the word ends there
+    cut = C.distinct(np.concatenate([single, single + size[single]]))
+    cut = cut[~np.isin(cut, start) & ~np.isin(cut, end)]
+    return np.sort(np.append(start, cut)), np.sort(np.append(end, cut))
+
+
+def words_of(line: bytes) -> list[bytes]:
+    """The words of one line."""
+    data = np.frombuffer(line, np.uint8)
+    start, end = split_words(data, np.array([0, len(data)]))
+    return [line[a:b] for a, b in zip(start.tolist(), end.tolist())]
+
+
 class Lines:
     """Lines of a bundle, numbered alike in each pass."""
 
@@ -40,7 +75,7 @@ class Lines:
         self.data, self.offsets = C.flat(self.rows.column(text))
         ids = np.array([np.iinfo(np.int64).max if v is None else v for v in self.rows.column(id).to_pylist()], np.int64)
         n = len(self.data)
-        self.start, self.end, _ = C.words(self.data, self.offsets)
+        self.start, self.end = split_words(self.data, self.offsets)
         begins = np.zeros(n + 1, bool)
         begins[np.flatnonzero(self.data == 0x0A) + 1] = True
         begins[self.offsets[:-1]] = True  # the first line of a text; texts without bytes have none
@@ -276,9 +311,9 @@ def removal(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words:
             start += 4 + 4 * len(members)
             edge, cut = np.append(0, np.cumsum(size)), start + np.append(0, np.cumsum(length))
             for i in range(len(size)):
-                partner = blob[cut[i] : cut[i + 1]].split()
+                partner = words_of(blob[cut[i] : cut[i + 1]])
                 for m in members[edge[i] : edge[i + 1]].tolist():
-                    if (lines.doc[m], lines.number[m]) > (doc[i], number[i]) and not near[m] and one_edit(lines.text(m).split(), partner):
+                    if (lines.doc[m], lines.number[m]) > (doc[i], number[i]) and not near[m] and one_edit(words_of(lines.text(m)), partner):
                         near[m] = True
         near[order] |= near[lead]  # rows that share the id of a first copy hold it at the same place
         near &= ~gone

@@ -81,7 +81,7 @@ def op10(spark, sf_dir):
 
 @query("op8_line_dedup")
 def op8(spark, sf_dir):
-    done = line_dedup.removal(documents(spark, sf_dir))
+    done = line_dedup.removal(documents(spark, sf_dir), min_words=1, fuzzy_words=2)
     return done.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("text", 256).alias("kept_sha256"))
 
 
