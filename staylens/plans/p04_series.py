@@ -152,6 +152,17 @@ def _(t):
     return T.episodes(panel_dump(t.district_daily, P2.event_days(t, "festival")))
 
 
+ALL_FLAGGED = FLAGGED.replace(P2.FESTIVALS, P2.DAYS)
+
+
+@query("wn16_event_episodes_all_events", f"""SELECT district, CAST(sum(CASE WHEN is_event = 1 AND coalesce(p, 0) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS episodes FROM (
+    SELECT *, lag(is_event) OVER (PARTITION BY district ORDER BY date) AS p FROM {ALL_FLAGGED}) GROUP BY district""")
+def _(t):
+    from staylens.operators.upsert import panel_dump
+
+    return T.episodes(panel_dump(t.district_daily, P2.event_days(t)))
+
+
 @query("wn24_peak_concurrency", """WITH m AS (SELECT event_type, ts AS pt, 1 AS n FROM events UNION ALL SELECT event_type, ts + INTERVAL 1 HOUR, -1 FROM events),
     g AS (SELECT event_type, pt, sum(n) AS n FROM m GROUP BY 1, 2), r AS (SELECT event_type, sum(n) OVER (PARTITION BY event_type ORDER BY pt) AS o FROM g)
     SELECT event_type, CAST(max(o) AS BIGINT) AS peak FROM r GROUP BY event_type""")
