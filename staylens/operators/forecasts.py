@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from staylens.functions import metrics as X
+from staylens.operators import blocks as B
 from staylens.operators.timeseries import half_trend
 
 
@@ -141,21 +142,34 @@ def paired_bootstrap(errors: DataFrame, keys: Sequence[str], model_error: str, n
 
 
 def nearest_rank(values: DataFrame, keys: Sequence[str], columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
-    """AG-38: nearest-rank percentiles. Ranks come from a window over one row per evaluated object."""
+    """AG-38: nearest-rank percentiles, exact. Values are reduced to counts, the counts cut into ranges; what the ranges before hold
+    tells in which range a rank lies, and only there rows are counted up. So neither a key nor the whole table is ranked in one task."""
     out = None
     for c in columns:
-        w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-        ranked = values.filter(F.col(c).isNotNull()).select(
-            *keys, c, (F.row_number().over(w.orderBy(c)) - 1).alias("_i"), F.count("*").over(w).alias("_n"))
-        picks = [
-            F.max(F.when(F.col("_i") == F.bround(F.lit(p) * (F.col("_n") - 1), 0), F.col(c))).alias(f"{c}_p{int(p * 100)}")
-            for p in shares
-        ]
-        one = ranked.groupBy(*keys).agg(*picks) if keys else ranked.agg(*picks)
+        one = _ranks(values.select(*keys, F.col(c).alias("_v")).filter(F.col("_v").isNotNull()), keys, shares)
+        named = [F.col(f"_p{i}").alias(f"{c}_p{int(p * 100)}") for i, p in enumerate(shares)]
+        one = one.select(*keys, *named)
         out = one if out is None else (out.join(one, list(keys)) if keys else out.select("*", *[one.select(n).scalar().alias(n) for n in one.columns]))
     return out
 
 
+def _ranks(values: DataFrame, keys: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """Columns _p0, _p1, ... of one value column `_v`."""
+    counts = B.in_blocks(values.groupBy(*keys, "_v").agg(F.count("*").alias("_n")), keys, ["_v"])
+    sums = counts.groupBy(*keys, B.BLOCK).agg(F.sum("_n").alias("_n"))
+    ranges = B.carried(sums, keys, "_n")
+    total = sums.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.bround(F.lit(p) * (F.col("_all") - 1), 0).cast("bigint").alias("at")) for i, p in enumerate(shares)]))
+    asked = total.select(*keys, wanted.alias("w")).select(*keys, "w.*")
+    # the last range that begins at or before the rank
+    last = F.max_by(F.struct(F.col(B.BLOCK), F.col("before")), F.col(B.BLOCK)).alias("b")
+    hit = B.meet(asked, ranges, keys, also=F.col("before") <= F.col("at")).groupBy(*keys, "i", "at").agg(last)
+    hit = hit.select(*keys, "i", (F.col("at") - F.col("b.before")).alias("_rest"), F.col(f"b.{B.BLOCK}").alias(B.BLOCK))
+    upto = B.meet(counts, hit.select(*keys, B.BLOCK), [*keys, B.BLOCK], "left_semi").withColumn("_upto", F.sum("_n").over(B.within(keys, ["_v"])))
+    found = B.meet(upto, hit, [*keys, B.BLOCK], also=F.col("_upto") > F.col("_rest"))
+    return found.groupBy(*keys).agg(*[F.min(F.when(F.col("i") == i, F.col("_v"))).alias(f"_p{i}") for i in range(len(shares))])
+
+
 # --- reading ---------------------------------------------------------------------------------------------------------
 def horizon_card(points: DataFrame, keys: Sequence[str] = ("district",)) -> DataFrame:
     """AG-42."""

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window as W
 from staylens import model as M
 from staylens.functions import dates as D
 from staylens.functions import metrics as X
+from staylens.operators import blocks as B
 from staylens.operators import market as K
 
 EPOCH = "1970-01-01"
@@ -175,15 +176,23 @@ def episodes(flagged: DataFrame, keys: Sequence[str] = ("district",)) -> DataFra
 
 
 # --- sessions --------------------------------------------------------------------------------------------------------
-def peak_concurrency(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """WN-24: most spans open at once per key. Starts and ends are reduced to net changes per instant before the running
-    sum, so simultaneous spans arrive as one row; at one instant ends count before starts."""
+def concurrency_blocks(spans: DataFrame, key: str, start: str, end: str, count: int | None = None) -> DataFrame:
+    """WN-24, first level: net change and highest running sum of each stretch of instants of a key."""
     moves = spans.select(key, F.explode(F.array(
         F.struct(F.col(start).alias("at"), F.lit(1).alias("up"), F.lit(0).alias("down")),
         F.struct(F.col(end).alias("at"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("m")).select(key, "m.*")
     net = moves.groupBy(key, "at").agg((F.sum("up") - F.sum("down")).alias("net"))
-    running = F.sum("net").over(W.partitionBy(key).orderBy("at"))
-    return net.withColumn("open", running).groupBy(key).agg(F.max("open").alias("peak"))
+    running = F.sum("net").over(B.within([key], ["at"]))
+    return B.in_blocks(net, [key], ["at"], count).withColumn("open", running).groupBy(key, B.BLOCK).agg(F.sum("net").alias("net"), F.max("open").alias("peak"))
+
+
+def peak_concurrency(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """WN-24: most spans open at once per key. Starts and ends are reduced to net changes per instant before the running
+    sum, so simultaneous spans arrive as one row; at one instant ends count before starts. A key's instants are cut into blocks, each
+    block takes its own running maximum, and what is open when it begins is carried forward from the blocks before."""
+    blocks = concurrency_blocks(spans, key, start, end)
+    before = B.carried(blocks, [key], "net")
+    return B.meet(blocks, before, [key, B.BLOCK]).groupBy(key).agg(F.max(F.col("before") + F.col("peak")).alias("peak"))
 
 
 # --- features --------------------------------------------------------------------------------------------------------
