@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from staylens.functions import text as S
+from staylens.session import materialise
 
-QUERY_BLOCK, DOCUMENT_BLOCK = 256, 2048
+QUERY_BLOCK, DOCUMENT_BLOCK, SLICE_BYTES = 256, 2048, 16 << 20
 
 
 def rendered_documents(hotels: DataFrame, events: DataFrame) -> DataFrame:
@@ -55,42 +58,136 @@ def matching(documents: DataFrame, where: Column) -> DataFrame:
     return flagged.filter(F.col("_ok") | (any_hit == 0)).drop("_ok")
 
 
-def blocks(rows: DataFrame, id_col: str, size: int, name: str) -> tuple[DataFrame, int]:
-    """Rows packed into blocks of about `size` ids and vectors each, and the number of blocks."""
-    count = max(1, -(-rows.count() // size))
-    packed = rows.select(F.pmod(F.xxhash64(id_col), F.lit(count)).cast("int").alias(name), F.struct(F.col(id_col).alias("id"), "embedding").alias("r"))
-    return packed.groupBy(name).agg(F.collect_list("r").alias(f"{name}_rows")), count
+def unit(matrix: np.ndarray) -> np.ndarray:
+    return matrix / np.maximum(np.linalg.norm(matrix, axis=-1, keepdims=True), 1e-300)
 
 
-def top_k(documents: DataFrame, queries: DataFrame, k: int, id_col: str = "id") -> DataFrame:
+def vectors(column: pa.Array) -> np.ndarray:
+    """A column of equally long arrays as a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def best_of(distance: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest distances of each row and the ids that have them, ties by id. Ids ascend."""
+    order = np.argsort(distance, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(distance, order, axis=1), ids[order]
+
+
+def top_k(documents: DataFrame, queries: DataFrame, k: int, id_col: str = "id", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """ML-25: the k nearest documents of each query by cosine distance, ties by id. Exact, for any number of queries.
 
-    Both sides are packed into blocks of bounded size, and every block of documents meets every block of queries in a task, as one
-    matrix product. A task passes on at most k rows per query and block, so what is ranked does not grow with the
-    documents themselves."""
-    id_type = documents.schema[id_col].dataType.simpleString()
-    q_type = queries.schema["query_id"].dataType.simpleString()
-    asked, count = blocks(queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull()), "query_id", QUERY_BLOCK, "qb")
-    stored, _ = blocks(documents.select(id_col, "embedding").filter(F.col("embedding").isNotNull()), id_col, DOCUMENT_BLOCK, "db")
-    pairs = stored.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(asked, "qb").select("db_rows", "qb_rows")
-
-    def unit(rows) -> np.ndarray:
-        matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for docs, wanted in zip(pdf["db_rows"], pdf["qb_rows"]):
-                ids = np.array([r["id"] for r in docs])
-                distance = 1.0 - unit(wanted) @ unit(docs).T
-                best = [np.lexsort((ids, row))[:k] for row in distance]
-                yield pd.DataFrame({
-                    "query_id": [q["id"] for q, b in zip(wanted, best) for _ in b],
-                    id_col: np.concatenate([ids[b] for b in best]), "distance": np.concatenate([row[b] for row, b in zip(distance, best)])})
-
-    partial = pairs.mapInPandas(score, f"query_id {q_type}, {id_col} {id_type}, distance double")
+    Queries go to the documents, in slices of at most about `slice_bytes`, which is what a task holds of them; the documents are read in place and
+    never shuffled. A task keeps the best k of each query over all its batches, so k rows per query and task are shuffled, whatever the number of documents."""
+    asked = materialise(queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("embedding").isNotNull()))
+    stored = documents.select(id_col, F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("embedding").isNotNull())
+    total = asked.agg(F.sum(F.size("embedding") * 8 + 64)).first()[0] or 0
+    slices = max(1, -(-total // slice_bytes))
+    part = F.pmod(F.xxhash64("query_id", "embedding"), F.lit(slices))
+    scored = [_slice_scores(stored, asked.filter(part == i), k, id_col) for i in range(slices)]
+    return ranked(reduce(DataFrame.unionByName, scored), k, id_col)
+
+
+def ranked(scored: DataFrame, k: int, id_col: str) -> DataFrame:
     w = W.partitionBy("query_id").orderBy("distance", id_col)
-    return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _slice_scores(stored: DataFrame, asked: DataFrame, k: int, id_col: str) -> DataFrame:
+    rows = asked.toArrow()
+    ids = rows.column("query_id").to_pylist()
+    shared = stored.sparkSession.sparkContext.broadcast(unit(vectors(rows.column("embedding").combine_chunks())))
+    types = f"at int, {id_col} {stored.schema[id_col].dataType.simpleString()}, distance double"
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, best = shared.value, None
+        for batch in batches:
+            for lo in range(0, batch.num_rows if len(wanted) else 0, DOCUMENT_BLOCK):
+                part = batch.slice(lo, DOCUMENT_BLOCK)
+                part = part.take(pc.sort_indices(part.column(0)))
+                found = best_of(1.0 - wanted @ unit(vectors(part.column(1))).T, part.column(0).to_numpy(zero_copy_only=False), k)
+                if best is not None:  # merge, ties by id
+                    distance, named = np.concatenate([best[0], found[0]], axis=1), np.concatenate([best[1], found[1]], axis=1)
+                    order = np.lexsort((named, distance), axis=1)[:, :k]
+                    found = np.take_along_axis(distance, order, axis=1), np.take_along_axis(named, order, axis=1)
+                best = found
+        if best is not None:
+            for lo in range(0, len(wanted), QUERY_BLOCK):
+                distance, named = (x[lo : lo + QUERY_BLOCK] for x in best)
+                at = np.repeat(np.arange(lo, lo + len(distance), dtype=np.int32), distance.shape[1])
+                yield pa.record_batch({"at": pa.array(at), id_col: pa.array(named.ravel().tolist()), "distance": pa.array(distance.ravel())})
+
+    names = stored.sparkSession.createDataFrame(list(enumerate(ids)), f"at int, query_id {asked.schema['query_id'].dataType.simpleString()}")
+    return stored.mapInArrow(score, types).join(F.broadcast(names), "at").select("query_id", id_col, "distance")  # names: one slice
+
+
+# --- hashed index ----------------------------------------------------------------------------------------------------
+def planes(bits: int, dimensions: int, seed: int = 7) -> np.ndarray:
+    """Random hyperplanes through the origin, orthogonal as far as the dimensions allow."""
+    rng = np.random.default_rng(seed)
+    made = [np.linalg.qr(rng.normal(size=(dimensions, dimensions)))[0].T for _ in range(-(-bits // dimensions))]
+    return np.concatenate(made)[:bits]
+
+
+def hashed_index(documents: DataFrame, bits: int, id_col: str = "id", seed: int = 7) -> DataFrame:
+    """Every document with the bucket of its vector: one bit for the side of each of `bits` hyperplanes (at most 16). Zero vectors have a bucket too."""
+    if not 1 <= bits <= 16:
+        raise ValueError("the index takes 1 to 16 bits, so that its bucket counts stay small enough to broadcast")
+
+    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matrix = vectors(batch.column(1))
+            side = matrix @ planes(bits, matrix.shape[1], seed).T > 0 if len(matrix) else np.zeros((0, bits), bool)
+            yield pa.record_batch([pa.array(side @ (1 << np.arange(bits)), pa.int32()), *batch.columns], names=["bucket", id_col, "embedding"])
+
+    rows = documents.select(id_col, F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("embedding").isNotNull())
+    return rows.mapInArrow(bucket, f"bucket int, {id_col} {rows.schema[id_col].dataType.simpleString()}, embedding array<double>")
+
+
+def _probed(queries: DataFrame, bits: int, probes: int, seed: int) -> DataFrame:
+    """Each query with the `probes` buckets that are nearest to its vector: by the sum of squared distances to the planes between."""
+    flips = ((np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1).astype(np.float64)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                matrix = unit(vectors(part.column(1)))
+                offset = matrix @ planes(bits, matrix.shape[1], seed).T
+                order = np.argsort((offset**2) @ flips.T, axis=1, kind="stable")[:, :probes]
+                bucket = ((offset > 0) @ (1 << np.arange(bits)))[:, None] ^ order
+                at = np.repeat(np.arange(part.num_rows), order.shape[1])
+                yield pa.record_batch([pa.array(bucket.ravel(), pa.int32()), part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at))], names=["bucket", "query_id", "embedding"])
+
+    rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("embedding").isNotNull())
+    return rows.mapInArrow(probe, f"bucket int, query_id {rows.schema['query_id'].dataType.simpleString()}, embedding array<double>")
+
+
+def hashed_top_k(index: DataFrame, queries: DataFrame, k: int, bits: int, probes: int, id_col: str = "id", seed: int = 7) -> DataFrame:
+    """ML-25 behind a hashed index: the documents of the `probes` buckets nearest to a query are compared exactly. All buckets give the
+    result of `top_k`; fewer give most of it (recall is measured in the tests).
+
+    A bucket is cut into parts of about `DOCUMENT_BLOCK` documents, and the queries that probe it go to each of its parts, so a bucket that
+    holds most documents is spread over many tasks. Documents are shuffled once, however many queries there are."""
+    id_type, q_type = index.schema[id_col].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    parts = index.groupBy("bucket").agg(F.ceil(F.count("*") / DOCUMENT_BLOCK).cast("int").alias("parts"))  # at most 2 ** bits rows
+    dealt = index.join(F.broadcast(parts), "bucket").select("bucket", F.pmod(F.xxhash64(id_col, "embedding"), "parts").cast("int").alias("part"), F.struct(F.col(id_col).alias("id"), "embedding").alias("r"))
+    held = dealt.groupBy("bucket", "part").agg(F.collect_list("r").alias("docs"))
+    probed = _probed(queries, bits, probes, seed).withColumn("block", F.pmod(F.xxhash64("query_id", "embedding"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))))
+    asked = probed.groupBy("bucket", "block").agg(F.collect_list(F.struct(F.col("query_id").alias("id"), "embedding")).alias("asked"))
+    sent = asked.join(F.broadcast(parts), "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "asked")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows, wanted = (batch.column(c)[i].values for c in (0, 1))
+                rows = rows.take(pc.sort_indices(rows.field("id")))
+                distance, named = best_of(1.0 - unit(vectors(wanted.field("embedding"))) @ unit(vectors(rows.field("embedding"))).T, np.arange(len(rows)), k)
+                at = np.repeat(np.arange(len(wanted)), distance.shape[1])
+                yield pa.record_batch({"query_id": wanted.field("id").take(pa.array(at)), id_col: rows.field("id").take(pa.array(named.ravel())), "distance": pa.array(distance.ravel())})
+
+    scored = held.join(sent, ["bucket", "part"]).select("docs", "asked").mapInArrow(score, f"query_id {q_type}, {id_col} {id_type}, distance double")
+    return ranked(scored, k, id_col)
 
 
 def centroids(vectors: DataFrame, label: str) -> DataFrame:

@@ -11,6 +11,7 @@ from staylens.operators import search as Q
 from staylens.plans import p02_events as P2
 from staylens.plans.p03_text import EVENT_DOC, HOTEL_DOC
 from staylens.plans.registry import query
+from staylens.session import materialise
 
 
 def spelled(t):
@@ -110,6 +111,14 @@ def _(t):
     return Q.top_k(Q.matching(v, F.col("label") >= 3), Q.centroids(v, "label"), 5, "vec_id").drop("distance")
 
 
+@query("ml25_hashed_search")
+def _(t):
+    """Every hundredth vector against all, through the hashed index."""
+    v = t.raw("embeddings")
+    asked = v.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return Q.hashed_top_k(materialise(Q.hashed_index(v, 8, "vec_id")), asked, 10, 8, 216, "vec_id")
+
+
 @query("ml26_document_list_and_delete", """SELECT source, count(*) AS n FROM (SELECT 'hotels' AS source, id FROM hotels WHERE district <> 'ASIA' UNION ALL SELECT 'events', event_id FROM cal_events) GROUP BY source""")
 def _(t):
     docs = Q.rendered_documents(t.hotels, t.cal_events)

@@ -9,7 +9,7 @@ from staylens.operators import upsert as U
 from staylens.plans.p02_events import RUNS, source_runs
 from staylens.plans.registry import query
 from staylens.streaming import jobs as J
-from staylens.streaming import state as ST
+from staylens.streaming import timed as TS
 
 
 def stored(t, stream, name):
@@ -66,26 +66,58 @@ def _(t):
     return t.spark.read.parquet(table.path).filter("rooms_num = 2").groupBy("date").agg(F.count("*").alias("hotels"))
 
 
+def decided(t, rows, time, operator, name):
+    """Run a stream in event time until all its rows are decided: a closing row of no key, far in the future, moves the watermark past them."""
+    closing = f"{J.work_folder(t.spark, name)}/closing"
+    last = [F.lit("2200-01-01").cast("timestamp").alias(f.name) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+    t.spark.range(1).select(*last).write.parquet(closing)
+    folder = J.work_folder(t.spark, name)
+    stream = operator(rows.unionByName(t.spark.readStream.schema(rows.schema).parquet(closing)))
+    with TS.with_timers(t.spark):
+        J.drain(stream.writeStream.format("parquet").option("path", f"{folder}/table").outputMode("append"), f"{folder}/checkpoint")
+    return t.spark.read.parquet(f"{folder}/table")
+
+
 @query("sm04_rate_limit")
 def _(t):
     requests = J.file_stream(t.spark, t.folder, "events").select(
         F.col("user_id").alias("key"), F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("event_time"))
-    return stored(t, ST.rate_limit(requests, limit=2, period_seconds=7200.0), "limit")
+    return decided(t, requests, "event_time", lambda r: TS.rate_limit(r, limit=2, period_seconds=7200.0, slot_seconds=7200.0), "limit")
 
 
-@query("sm05_source_health", f"""WITH r AS (SELECT *, status = 'ok' AND items > 0 AS good FROM {RUNS}),
-    g AS (SELECT *, sum(CAST(good AS INTEGER)) OVER (PARTITION BY source ORDER BY run_ts, event_id) AS grp, row_number() OVER (PARTITION BY source ORDER BY run_ts, event_id) AS total_runs,
-      sum(CAST(NOT good AS INTEGER)) OVER (PARTITION BY source ORDER BY run_ts, event_id) AS total_errors FROM r),
+# the mean moves at good runs only, by its share of all runs so far
+HEALTH = f"""WITH RECURSIVE r AS (SELECT *, status = 'ok' AND items > 0 AS good, epoch(run_ts) AS secs FROM {RUNS}),
+    g AS (SELECT *, CAST(sum(CAST(good AS INTEGER)) OVER w AS BIGINT) AS grp, row_number() OVER w AS total_runs, sum(CAST(NOT good AS INTEGER)) OVER w AS total_errors FROM r WINDOW w AS (PARTITION BY source ORDER BY run_ts, event_id)),
     f AS (SELECT *, sum(CAST(NOT good AS INTEGER)) OVER (PARTITION BY source, grp ORDER BY run_ts, event_id) AS consecutive_failures,
-      coalesce(max(CASE WHEN good THEN items END) OVER (PARTITION BY source, grp), 0) AS last_count FROM g)
-    SELECT source, event_id AS run_id, CASE WHEN consecutive_failures >= 3 THEN 'CRITICAL' WHEN consecutive_failures >= 1 THEN 'WARNING' WHEN last_count = 0 THEN 'EMPTY' ELSE 'OK' END AS status,
-      total_runs, CAST(total_errors AS BIGINT) AS total_errors, CAST(consecutive_failures AS BIGINT) AS consecutive_failures, CAST(last_count AS BIGINT) AS last_count FROM f""")
+      coalesce(max(CASE WHEN good THEN items END) OVER (PARTITION BY source, grp), 0) AS last_count, max(CASE WHEN good THEN secs END) OVER (PARTITION BY source, grp) AS last_success FROM g),
+    m AS (SELECT DISTINCT source, CAST(0 AS BIGINT) AS grp, CAST(0 AS DOUBLE) AS mean FROM r
+      UNION ALL SELECT g.source, g.grp, (m.mean * (g.total_runs - 1) + g.items) / g.total_runs FROM m JOIN g ON g.source = m.source AND g.grp = m.grp + 1 AND g.good),
+    s AS (SELECT f.*, m.mean, CASE WHEN consecutive_failures >= 3 THEN 'CRITICAL' WHEN consecutive_failures >= 1 THEN 'WARNING' WHEN last_count = 0 THEN 'EMPTY' ELSE 'OK' END AS now FROM f JOIN m ON m.source = f.source AND m.grp = f.grp),
+    b AS (SELECT *, coalesce(lag(now) OVER (PARTITION BY source ORDER BY run_ts, event_id), 'OK') AS before FROM s)
+    SELECT source, event_id AS run_id, now AS status, consecutive_failures < 3 AND NOT coalesce(secs - last_success > 86400, false) AND NOT (mean > 0 AND last_count < mean * 0.3) AS healthy,
+      total_runs, CAST(total_errors AS BIGINT) AS total_errors, CAST(consecutive_failures AS BIGINT) AS consecutive_failures, CAST(last_count AS BIGINT) AS last_count, round(mean, 6) AS avg_count,
+      concat_ws(',', CASE WHEN now <> before AND now IN ('CRITICAL', 'WARNING') THEN now WHEN now <> before AND now = 'OK' AND before IN ('CRITICAL', 'WARNING') THEN 'RECOVERED' END,
+        CASE WHEN good AND mean > 5 AND items < mean * 0.3 THEN 'LOW_DATA' END) AS alerts FROM b"""
+
+
+@query("sm05_source_health", HEALTH)
 def _(t):
     v = F.floor("value").cast("int")
     runs = J.file_stream(t.spark, t.folder, "events").select(
-        F.col("event_type").alias("source"), F.col("event_id").alias("run_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("run_ts"),
-        (v % 5).alias("items"), (v % 3 == 0).alias("success"))
-    return stored(t, ST.source_health(runs), "health").drop("avg_count", "alerts", "healthy")
+        F.col("event_type").alias("source"), F.col("event_id").alias("run_id"), F.col("ts").cast("timestamp").alias("run_time"), (v % 5).alias("items"), (v % 3 == 0).alias("success"))
+    return decided(t, runs, "run_time", TS.source_health, "health")
+
+
+@query("sm06_staleness_stream", f"""SELECT source, event_id AS run_id, status, CAST(items AS BIGINT) AS items, strftime(run_ts, '%Y-%m-%d %H:%M') AS last_run, CAST(30 AS DOUBLE) AS expected_minutes
+    FROM (SELECT *, lead(run_ts) OVER (PARTITION BY source ORDER BY run_ts, event_id) AS next FROM {RUNS}) WHERE next IS NULL OR next > run_ts + INTERVAL 1 HOUR""")
+def _(t):
+    """Sources that are expected every half hour."""
+    runs = J.file_stream(t.spark, t.folder, "events")
+    v = F.floor("value").cast("int")
+    runs = runs.select(F.col("event_type").alias("source"), F.col("event_id").alias("run_id"), F.col("ts").cast("timestamp").alias("run_time"),
+        F.when(v % 3 == 0, "ok").when(v % 3 == 1, "warn").otherwise("fail").alias("status"), (v % 5).alias("items"))
+    found = decided(t, runs, "run_time", lambda r: TS.staleness(r, F.lit(0.5)), "stale")
+    return found.select("source", "run_id", "status", "items", F.date_format("last_run", "yyyy-MM-dd HH:mm").alias("last_run"), "expected_minutes")
 
 
 @query("sm06_freshness", f"""WITH l AS (SELECT source, arg_max(status, run_ts) AS status, arg_max(items, run_ts) AS items, floor(epoch(max(run_ts))) AS e FROM {RUNS} GROUP BY source),

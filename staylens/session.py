@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -61,3 +62,11 @@ def materialise(df):
     it outlives a lost executor and is not computed again per branch."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df):
+    """As `materialise`, for the rounds of a loop: a table in the shared checkpoint folder, read back. A checkpoint keeps the planner's size
+    estimate, and joins multiply estimates, so that after some rounds planning takes longer than the work; a table has its real size."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -42,7 +42,7 @@ def table(spark):
     return spark.createDataFrame([(*p, "own", "own") for p in pages()], SCHEMA).repartition(4)
 
 
-@pytest.mark.parametrize("compress, target", [(True, 32 << 20), (True, 2000), (False, 32 << 20), (False, 2000)])
+@pytest.mark.parametrize("compress, target", [(True, 32 << 20), (True, 400_000), (False, 32 << 20), (False, 400_000)])
 def test_round_trip(spark, table, tmp_path, compress, target):
     folder = warc.archived(table, str(tmp_path / "a"), compress, target=target)
     found = warc.read(spark, folder)
@@ -57,7 +57,7 @@ def test_round_trip(spark, table, tmp_path, compress, target):
 
 def test_files_are_gzip(spark, table, tmp_path):
     """Any gzip reader reads the archives."""
-    folder = warc.archived(table, str(tmp_path / "a"), target=2000)
+    folder = warc.archived(table, str(tmp_path / "a"), target=400_000)
     parts = list((tmp_path / "a").glob("part-*"))
     assert len(parts) > 3 and sum(gzip.decompress(p.read_bytes()).count(b"WARC-Type: ") for p in parts) == len(pages())
     assert folder == str(tmp_path / "a")

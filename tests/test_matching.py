@@ -1,9 +1,11 @@
 """Pair finding against brute force."""
 
 import itertools
+import os
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from staylens.functions.similarity import token_set_ratio
@@ -83,3 +85,73 @@ def test_long_chain_of_shrinking_distances(spark):
     pairs = G.match_one_to_one(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), 0.3)
     got = {(r["l"], r["r"]) for r in pairs.collect()}
     assert len(got) >= 25 and len({a for a, _ in got}) == len(got) == len({b for _, b in got})
+
+
+def greedy(left, right, radius):
+    """One-to-one pairs by rising distance; coordinates without ties."""
+    pairs = sorted((d, i, j) for i, a in enumerate(left) for j, d in enumerate(km_to(a, right)) if d < radius)
+    used_l, used_r, out = set(), set(), {}
+    for _, i, j in pairs:
+        if i not in used_l and j not in used_r:
+            used_l.add(i)
+            used_r.add(j)
+            out[left[i][0]] = right[j][0]
+    return out
+
+
+def km_to(a, others):
+    lat, lon = np.radians([o[1] for o in others]), np.radians([o[2] for o in others])
+    h = np.sin((lat - np.radians(a[1])) / 2) ** 2 + np.cos(lat) * np.cos(np.radians(a[1])) * np.sin((lon - np.radians(a[2])) / 2) ** 2
+    return 2 * 6371 * np.arcsin(np.sqrt(h))
+
+
+SPOT = "id string, lat double, lon double"
+
+
+@pytest.mark.parametrize("small, listed", [(20_000, 16), (60, 4)])
+def test_matching_equals_greedy(spark, monkeypatch, small, listed):
+    """Mutual nearest rounds give the pairs that a sweep by distance gives: through small leaves, and by
+    distributed rounds over short lists that are used up."""
+    monkeypatch.setattr(G, "SMALL", small)
+    monkeypatch.setattr(G.nearest_places, "__defaults__", (listed,))
+    monkeypatch.setattr(G, "LEAF", 10)
+    monkeypatch.setattr(G, "FAN", 4)
+    rnd = random.Random(11)
+    left = [(f"l{i:03d}", 52 + rnd.random() ** 3 / 100, 104 + rnd.random() ** 3 / 100) for i in range(90)]
+    right = [(f"r{i:03d}", 52.002 + rnd.random() / 500, 104 + rnd.random() / 90) for i in range(70)]
+    got = {r["l"]: r["r"] for r in G.match_one_to_one(spark.createDataFrame(left, SPOT).repartition(3), spark.createDataFrame(right, SPOT), 0.4).collect()}
+    want = greedy(left, right, 0.4)
+    assert got == want and len(got) > 40
+
+
+def test_nearest_places_equal_all_distances(spark, monkeypatch):
+    monkeypatch.setattr(G, "LEAF", 10)
+    monkeypatch.setattr(G, "FAN", 4)
+    rnd = random.Random(12)
+    spot = lambda s, n: [(f"{s}{i:03d}", f"{s}{i:03d}", rnd.choice([52.0, -0.001, 51.99]) + rnd.random() / 300, rnd.choice([104.0, 104.02]) + rnd.random() / 200) for i in range(n)]
+    left, right = spot("l", 160), spot("r", 140)
+    frame = lambda x: spark.createDataFrame(x, "place string, first string, lat double, lon double")
+    got = {(r["side"], r["own"], r["other"]) for r in G.nearest_places(frame(left), frame(right), 0.5, 4).collect()}
+    want = set()
+    for side, own, other in (("l", left, right), ("r", right, left)):
+        for a in own:
+            near = sorted((d, o[0]) for d, o in zip(km_to(a[1:], [o[1:] for o in other]), other) if d < 0.5)
+            want |= {(side, a[0], o) for _, o in near[:4]}
+    assert got == want
+
+
+def test_matching_of_a_crowded_block(spark):
+    """Many rows in one city block, a fifth of them on one spot: all that can be matched is, each row once. STAYLENS_ALL takes 100,000."""
+    n = 50_000 if os.environ.get("STAYLENS_ALL") else 2_000
+    spots = lambda s, n, hot: spark.range(n, numPartitions=8).select(
+        F.concat(F.lit(s), F.col("id").cast("string")).alias("id"),
+        F.when(F.col("id") % 5 == hot, 52.001).otherwise(52 + F.rand(hot) / 700).alias("lat"), F.when(F.col("id") % 5 == hot, 104.001).otherwise(104 + F.rand(hot + 7) / 500).alias("lon"))
+    pairs = G.match_one_to_one(spots("l", n, 1), spots("r", n, 2), 0.3).toPandas()
+    assert len(pairs) == n == pairs["l"].nunique() == pairs["r"].nunique()
+    assert pairs["km"].max() < 0.3
+
+
+def test_matching_without_partners(spark):
+    none, one = spark.createDataFrame([], SPOT), spark.createDataFrame([("a", 52.0, 104.0), ("b", None, 104.0), ("c", 0.0, 0.0)], SPOT)
+    assert G.match_one_to_one(none, one).collect() == [] == G.match_one_to_one(one, none).collect()
+    assert [tuple(r) for r in G.match_one_to_one(one, one).collect()] == [("a", "a", 0.0)]
