@@ -13,6 +13,7 @@ of a third of all rows costs its block one entry per bundle.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -164,10 +165,47 @@ class Rolling:
             return (self.sum[end] - self.sum[start]) * self.down[start]
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0x5851F42D4C957F2D) -> np.ndarray:
-    """64-bit hash of each word from its bytes and length."""
-    with np.errstate(over="ignore"):
-        return mix(Rolling(data, base).of(start, end) + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+class Prime:
+    """Polynomial hashes modulo the prime 2**31 - 1, as a second opinion: sequences that share a polynomial modulo 2**64 whatever its base (of
+    Thue and Morse, say) differ here."""
+
+    P = U64(2**31 - 1)
+
+    def __init__(self, symbols: np.ndarray, base: int = 1220703125):
+        n = len(symbols)
+        up, self.down = (self._powers(b, n + 1) for b in (base, pow(base, -1, int(self.P))))
+        self.sum = np.zeros(n + 1, U64)
+        np.cumsum((mix(symbols, 11) >> U64(34)) * up[:n] % self.P, out=self.sum[1:])
+
+    @classmethod
+    def _powers(cls, base: int, n: int) -> np.ndarray:
+        out, step = np.ones(1, U64), U64(base)
+        while len(out) < n:  # twice as many with each round
+            out = np.append(out, out * step % cls.P)
+            step = step * step % cls.P
+        return out
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sum[end] - self.sum[start]) % self.P * self.down[start] % self.P
+
+
+LONG_WORD = 4096
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word from its length and bytes, eight at a time, each step mixed before the next."""
+    length = end - start
+    value = length.astype(U64) * U64(0xD6E8FEB86659FD93)
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))  # eight bytes from every place
+    at, live = 0, np.flatnonzero((length > 0) & (length <= LONG_WORD))
+    while len(live):
+        left = np.minimum(length[live] - at, 8).astype(U64)
+        value[live] = mix(value[live] ^ (eight[start[live] + at] & (U64(2**64 - 1) >> (U64(64) - U64(8) * left))), 5)
+        at += 8
+        live = live[length[live] > at]
+    for i in np.flatnonzero(length > LONG_WORD):
+        value[i] = np.frombuffer(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), U64)[0]
+    return mix(value, 9)
 
 
 def covered(length: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:

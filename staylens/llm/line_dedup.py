@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from staylens.llm import common as C
 
 BUNDLE_BYTES, MIN_WORDS, FUZZY_WORDS = 1 << 20, 5, 10
-BASE, OTHER = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
+BASE = 0x5851F42D4C957F2D
 LENGTH = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -93,7 +93,7 @@ class Lines:
             with np.errstate(over="ignore"):
                 self.rolling = C.Rolling(self.words, BASE)
                 self.key = C.mix(self.rolling.of(self.first, last) + self.count.astype(np.uint64) * LENGTH)
-                self.check = (C.mix(C.Rolling(self.words, OTHER).of(self.first, last), 1) >> np.uint64(32)).astype(np.uint32)
+                self.check = C.Prime(self.words).of(self.first, last).astype(np.uint32)
 
     def heads(self, min_words: int) -> np.ndarray:
         """First copy in the bundle of each line to judge, in order of keys."""

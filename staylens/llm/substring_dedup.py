@@ -43,7 +43,7 @@ class Windows:
         self.at = np.repeat(self.first[:-1] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
         self.doc = np.repeat(self.ids, count)  # ascending
         self.key = C.mix(C.Rolling(hashes, 0x5851F42D4C957F2D).of(self.at, self.at + width))
-        self.check = (C.mix(C.Rolling(hashes, 0x2545F4914F6CDD1D).of(self.at, self.at + width), 1) >> np.uint64(32)).astype(np.uint32)
+        self.check = C.Prime(hashes).of(self.at, self.at + width).astype(np.uint32)
         self.width = width
 
     def distinct(self) -> np.ndarray:

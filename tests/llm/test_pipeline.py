@@ -33,7 +33,20 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark, sf_dir):
         assert sorted((r.doc_id is None, r.doc_id) for r in docs.collect()) == ([(False, 1), (True, None)] if table else [])
 
 
+CLASHING = ["own", "every", "__lang", "n_words", "kept", "base_failed", "n_tokens", "entropy", "__row", "__bundle", "__rest", "__n", "__id", "__text", "i", "h", "row", "n", "group", "items", "spans", "n_hit", "n_lines", "n_removed", "bundle"]
+
+
+def test_clashing_columns_keep_their_values(spark, sf_dir):
+    """Extra columns of 25 names that stages use themselves come out as they went in."""
+    rows = [(i, " ".join(f"word{i}x{j * j % 97}" for j in range(60)), "en", "s", 1, *[f"{c}{i}" for c in CLASHING]) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    want = sorted(r[5:] for r in rows)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = spark.createDataFrame(stage(spark, docs, sf_dir).toArrow())
+        assert sorted(tuple(r)[5:] for r in docs.collect()) == want
+
+
 def test_every_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entrypoint.queries())
     assert public_tokenizers.PATTERN
