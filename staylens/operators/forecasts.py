@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -11,6 +13,7 @@ from pyspark.sql.window import Window as W
 from staylens.functions import metrics as X
 from staylens.operators import blocks as B
 from staylens.operators.timeseries import half_trend
+from staylens.session import ship_package
 
 
 # --- combination -----------------------------------------------------------------------------------------------------
@@ -125,20 +128,69 @@ def backtest_report(observations: DataFrame, predictions: DataFrame, split: Colu
     )
 
 
+# --- fixed values: distribution function of a Poisson variable of mean one ------------------------------------------------
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940581, 0.99991676)
+# ----------------------------------------------------------------------------------------------------------------------
+REPLICATES, ROWS_AT_ONCE, KEYS_HELD = 1000, 512, 64
+
+
+def poisson_weights(ids: np.ndarray, first: int, last: int) -> np.ndarray:
+    """How often each row counts in the resamples first..last-1: independent Poisson draws of mean one from a hash of row id and number."""
+    x = ids.astype(np.uint64)[:, None] + np.arange(first, last, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    out = np.zeros(x.shape, np.int8)
+    for cut in POISSON:
+        out += x >= np.uint64(int(cut * 2**64))
+    return out
+
+
 def paired_bootstrap(errors: DataFrame, keys: Sequence[str], model_error: str, naive_error: str, rounds: int = 10000, seed: int = 20260809) -> DataFrame:
     """ML-14: share of resamples in which the naive forecast is not worse. Each observation gets an independent Poisson
-    weight per resample, drawn from a seeded hash, so resamples add up in any order and on any number of tasks."""
-    cols = [F.col(k) for k in keys]
-    diff = F.abs(F.col(model_error)) - F.abs(F.col(naive_error))
-    rows = errors.select(*keys, diff.alias("_d"), F.xxhash64(F.lit(seed), *[F.col(c) for c in errors.columns]).alias("_id"))
-    reps = rows.select(*keys, "_d", "_id", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("_rep"))
-    u = F.pmod(F.xxhash64("_id", "_rep"), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    cuts = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940581, 0.99991676)  # Poisson(1) distribution
-    weight = F.lit(0)
-    for c in cuts:
-        weight = weight + (u >= c).cast("int")
-    sums = reps.groupBy(*cols, "_rep").agg(F.sum(F.col("_d") * weight).alias("_s"))
-    return sums.groupBy(*keys).agg(F.avg((F.col("_s") >= 0).cast("double")).alias("p_naive_not_worse"), F.count("*").alias("rounds"))
+    weight per resample, drawn from a seeded hash of the row and its number among equal rows, so that the outcome does not depend on how rows are dealt.
+
+    A task multiplies the weights of a batch of rows with their differences and passes on one sum per key and resample, as arrays of `REPLICATES`;
+    these are added up across tasks. Nothing has a row per observation and resample."""
+    ship_package(errors.sparkSession)
+    diff = (F.abs(F.col(model_error)) - F.abs(F.col(naive_error))).cast("double")
+    equal = errors.groupBy(*errors.columns).agg(F.count("*").alias("_n")).withColumn("_j", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))
+    key = F.to_json(F.struct(*keys)).alias("_key")
+    rows = equal.filter(diff.isNotNull()).select(key, diff.alias("_d"), F.xxhash64(F.lit(seed), *[F.col(c) for c in errors.columns], "_j").alias("_id"))
+    named = errors.select(key, *keys).groupBy("_key").agg(*[F.first(k).alias(k) for k in keys])
+
+    def parts(held: dict[str, np.ndarray]) -> pa.RecordBatch:
+        cut = [(k, i, v[i : i + REPLICATES].tobytes()) for k, v in held.items() for i in range(0, rounds, REPLICATES)]
+        return pa.record_batch({"_key": pa.array([k for k, _, _ in cut], pa.string()), "_part": pa.array([i for _, i, _ in cut], pa.int32()), "_sums": pa.array([v for _, _, v in cut], pa.binary())})
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                code = part.column(0).dictionary_encode()
+                names, code = code.dictionary.to_pylist(), code.indices.to_numpy()
+                d, ids = part.column(1).to_numpy(), part.column(2).to_numpy()
+                for name in names:
+                    held.setdefault(name, np.zeros(rounds))
+                of = (code == np.arange(len(names))[:, None]) * d  # a row for each key
+                for lo in range(0, rounds, REPLICATES):
+                    hi = min(lo + REPLICATES, rounds)
+                    sums = of @ poisson_weights(ids, lo, hi)
+                    for name, s in zip(names, sums):
+                        held[name][lo:hi] += s
+                if len(held) > KEYS_HELD:
+                    yield parts(held)
+                    held = {}
+        yield parts(held)
+
+    def total(table: pa.Table) -> pa.Table:
+        sums = sum(np.frombuffer(v.as_py()) for v in table.column("_sums"))
+        return pa.table({"_key": table.column("_key").slice(0, 1), "_kept": pa.array([int((sums >= 0).sum())], pa.int64()), "_rounds": pa.array([len(sums)], pa.int64())})
+
+    sums = rows.mapInArrow(added, "_key string, _part int, _sums binary").groupBy("_key", "_part").applyInArrow(total, "_key string, _kept bigint, _rounds bigint")
+    shares = sums.groupBy("_key").agg((F.sum("_kept") / F.sum("_rounds")).alias("p_naive_not_worse"), F.sum("_rounds").alias("rounds"))
+    return named.join(shares, "_key").select(*keys, "p_naive_not_worse", "rounds")
 
 
 def nearest_rank(values: DataFrame, keys: Sequence[str], columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
