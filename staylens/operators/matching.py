@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from staylens.functions import metrics as X
-from staylens.functions.similarity import token_set_ratio_column
+from staylens.functions.similarity import highest_ratio, parts_ratio, token_parts
 from staylens.operators import blocks as B
 from staylens.operators.events import EVENT_COLUMNS, merge_groups
 from staylens.session import materialise, ship_package, stored
@@ -55,7 +55,10 @@ def fuzzy_pairs(titles: DataFrame, bucket: Sequence[str], key: str = "title_key"
     b = ranked.select(*bucket, "g", F.col(key).alias("b"), F.col("n").alias("nb"))
     pairs = a.join(b, [*bucket, "g"]).filter((F.col("a") != F.col("b")) & (F.col("na") <= F.col("nb")))
     pairs = pairs.select(*bucket, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.filter(token_set_ratio_column(F.col("a"), F.col("b")) > FUZZY_THRESHOLD)
+    # lengths decide most pairs; what they leave open is scored exactly
+    split = pairs.select(*bucket, "a", "b", F.inline(F.array(F.struct(token_parts(F.col("a"), F.col("b")).alias("p")))))
+    likely = split.filter(highest_ratio(F.col("p")) > FUZZY_THRESHOLD)
+    return likely.filter(parts_ratio(F.col("p")) > FUZZY_THRESHOLD).select(*bucket, "a", "b")
 
 
 def connected_groups(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
