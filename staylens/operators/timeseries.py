@@ -292,11 +292,10 @@ def event_features(df: DataFrame, events: DataFrame, keys: Sequence[str] = ("dis
     return df.join(counted, [*keys, "date"])
 
 
-def feature_matrix(series: DataFrame, weather: DataFrame, events: DataFrame, prices: DataFrame, horizon: int = 0) -> DataFrame:
-    """ML-01: all features of a (district, date, y) series, with future rows when a horizon is given. The joins and
+def feature_matrix(series: DataFrame, weather: DataFrame, events: DataFrame, horizon: int = 0) -> DataFrame:
+    """ML-01: all features of a (district, date, y, price) series, with future rows when a horizon is given. The joins and
     windows share the district key, so Spark keeps one partitioning through the chain of windows."""
     rows = with_future_dates(series, horizon) if horizon else series
-    rows = rows.join(prices.select("district", "date", "price"), ["district", "date"], "left")
     rows = event_features(weather_features(rows, weather), events)
     rows = holiday_features(calendar_features(rows))
     return price_features(trend_features(rolling_features(lag_features(rows))))

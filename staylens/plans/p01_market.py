@@ -576,6 +576,13 @@ def _(t):
     return K.snapshot_on(t.stats, F.lit("1997-08-01").cast("date"))
 
 
+@query("jn10_snapshot_after_a_gap", f"""SELECT {SNAPCOLS} FROM hotel_statistics WHERE date = (SELECT max(date) FROM hotel_statistics WHERE date < DATE '1997-07-20')""")
+def _(t):
+    """No facts for a fortnight before the day: the last day that has some."""
+    gap = t.stats.filter(~F.col("date").between("1997-07-20", "1997-08-03"))
+    return K.snapshot_on(gap, F.lit("1997-08-01").cast("date"))
+
+
 @query("jn10_as_of_per_hotel", f"""SELECT DISTINCT ON (id) id, CAST(date AS VARCHAR) AS date, rooms_num, free_rooms_amount, available_rooms_percent,
     min_price, max_capacity FROM hotel_statistics WHERE hotel_statistics.date <= DATE '1997-08-01' ORDER BY id, hotel_statistics.date DESC""")
 def _(t):

@@ -405,4 +405,4 @@ def _(t):
 @query("src12_import_window", """SELECT CAST(max(date) + 1 AS VARCHAR) AS date_from, CAST(max(date) + 15 AS VARCHAR) AS date_to FROM hotel_statistics""")
 def _(t):
     start, end = R.import_window(t.stats, F.date_add(t.as_of, 15))
-    return t.raw("region").limit(1).select(start.alias("date_from"), end.alias("date_to"))
+    return t.spark.range(1).select(start.alias("date_from"), end.alias("date_to"))

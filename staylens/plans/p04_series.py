@@ -262,8 +262,10 @@ def _(t):
 
 
 def features(t, horizon=0):
-    prices = P1.series(t).select("district", "date", F.col("avg_price").alias("price"))
-    return T.feature_matrix(occ(t).withColumnRenamed("occupancy", "y"), mean_weather(t), district_events(t), prices, horizon)
+    # occupancy and price of a district's day from one pass over the facts
+    priced = t.stats.withColumn("_price", F.when(F.col("rooms_num") > 0, F.col("min_price")))
+    rows = K.with_hotel(priced, t.hotels, "district").groupBy("district", "date").agg(X.weighted_occupancy().alias("y"), X.median_price("_price").alias("price"))
+    return T.feature_matrix(rows, mean_weather(t), district_events(t), horizon)
 
 
 @query("ml01_feature_matrix", f"""WITH {NEXT}, r AS ({ROLL}), w AS ({WX}), e AS ({EVF}), p AS {PR},
@@ -437,6 +439,15 @@ def _(t):
     return C.nearest_in_time(t.district_daily, F.lit("1997-06-28").cast("date"))
 
 
+@query("jn11_nearest_across_a_gap", f"""SELECT district, CAST(date AS VARCHAR) AS date, round(occupancy, 6) AS occupancy, CAST(distance AS INTEGER) AS distance FROM (
+    SELECT *, abs(date - DATE '1997-06-28') AS distance, row_number() OVER (PARTITION BY district ORDER BY abs(date - DATE '1997-06-28'), date) AS rn FROM district_daily
+    WHERE date NOT BETWEEN DATE '1997-06-26' AND DATE '1997-06-30' AND (district <> 'ASIA' OR date NOT BETWEEN DATE '1997-06-20' AND DATE '1997-07-06')) WHERE rn = 1 AND distance <= 7""")
+def _(t):
+    """Five days are missing everywhere, in one district more than the search reaches: the earlier of two equally near days, or none."""
+    missing = F.col("date").between("1997-06-26", "1997-06-30") | ((F.col("district") == "ASIA") & F.col("date").between("1997-06-20", "1997-07-06"))
+    return C.nearest_in_time(t.district_daily.filter(~missing), F.lit("1997-06-28").cast("date"))
+
+
 @query("jn15_merged_series", f"""WITH u AS (SELECT district, date, occupancy AS a, NULL AS f, NULL AS lo, NULL AS hi FROM district_daily
       UNION ALL SELECT district, forecast_date, NULL, predicted_occupancy, confidence_lower, confidence_upper FROM forecasts WHERE model = 'ensemble'
       UNION ALL SELECT district, {TODAY} + CAST(i AS INTEGER), NULL, NULL, NULL, NULL FROM (SELECT DISTINCT district FROM district_daily), (SELECT unnest(range(1, 15)) AS i))

@@ -16,10 +16,10 @@ txt = lambda c: F.col(c).cast("string")
 
 # --- payloads ---------------------------------------------------------------------------------------------------------
 def hotel_payload(t):
-    """Availability pages as the collector lands them: one page per hotel of the latest day, with nested rooms."""
-    rows = t.stats.filter(F.col("date") == t.as_of).drop("min_price").join(t.hotels, "id")
+    """Availability pages as the collector lands them: one page per hotel and day, with all its rooms nested."""
+    rows = t.stats.drop("min_price").join(t.hotels, "id")
     k = F.col("id").cast("bigint")
-    rooms = F.transform(F.sequence(F.lit(1), F.least(F.col("rooms_num"), F.lit(6))), lambda i: F.struct(
+    rooms = F.transform(F.sequence(F.lit(1), F.col("rooms_num")), lambda i: F.struct(
         (i % 3).cast("int").alias("free"), F.when(i % 4 == 0, 1).otherwise(0).alias("single_bed"), (i % 2 + 1).cast("int").alias("capacity")))
     url = F.concat(F.lit("https://img.example/"), "id")
     hotel = lambda photos: F.to_json(F.struct(
@@ -29,26 +29,25 @@ def hotel_payload(t):
     return rows.select("date", F.concat(F.lit('{"response": {"hotels": ['), one, F.lit("]}}")).alias("page"))
 
 
-ROOMS = "(SELECT least(rooms_num, sum(CASE WHEN i % 4 = 0 THEN 1 ELSE i % 3 END)) FROM (SELECT unnest(range(1, least(rooms_num, 6) + 1)) AS i))"
+ROOMS = "least(rooms_num, list_sum(list_transform(range(1, rooms_num + 1), lambda i: CASE WHEN i % 4 = 0 THEN 1 ELSE i % 3 END)))"
+BEDS = "CAST(greatest(rooms_num, list_sum(list_transform(range(1, rooms_num + 1), lambda i: i % 2 + 1))) AS INTEGER)"
 
 
 @query("src08_hotel_payload", f"""SELECT h.id || '_101hotels' AS id, name, 'Иркутск' AS city, 'Иркутский' AS district, round(lat, 6) AS lat, round(lon, 6) AS lon, h.min_price,
     'https://img.example/' || h.id AS image_url, accommodation_type, CAST(date AS VARCHAR) AS date, rooms_num, CAST({ROOMS} AS INTEGER) AS free_rooms_amount,
-    round({ROOMS} * 100 / CAST(rooms_num AS DOUBLE), 6) AS available_rooms_percent
-    FROM (SELECT id, date, rooms_num FROM hotel_statistics WHERE date = (SELECT max(date) FROM hotel_statistics)) s JOIN hotels h ON h.id = s.id""")
+    round({ROOMS} * 100 / CAST(rooms_num AS DOUBLE), 6) AS available_rooms_percent, round(rating, 6) AS rating, {BEDS} AS max_capacity
+    FROM (SELECT id, date, rooms_num FROM hotel_statistics) s JOIN hotels h ON h.id = s.id""")
 def _(t):
-    return P.hotel_pages(hotel_payload(t), "page", F.col("date")).drop("rating", "max_capacity")
+    return P.hotel_pages(hotel_payload(t), "page", F.col("date"))
 
 
-@query("sc35_rooms_reduction", f"""SELECT id || '_101hotels' AS id, CAST({ROOMS} AS INTEGER) AS free_rooms_amount,
-    CAST(greatest(rooms_num, (SELECT sum(i % 2 + 1) FROM (SELECT unnest(range(1, least(rooms_num, 6) + 1)) AS i))) AS INTEGER) AS max_capacity
-    FROM hotel_statistics WHERE date = (SELECT max(date) FROM hotel_statistics)""")
+@query("sc35_rooms_reduction", f"""SELECT id || '_101hotels' AS id, CAST({ROOMS} AS INTEGER) AS free_rooms_amount, {BEDS} AS max_capacity FROM hotel_statistics""")
 def _(t):
     return P.hotel_pages(hotel_payload(t), "page", F.col("date")).select("id", "free_rooms_amount", "max_capacity")
 
 
 @query("sc36_first_photo_and_kind", """SELECT h.id || '_101hotels' AS id, 'https://img.example/' || h.id AS image_url, accommodation_type FROM hotels h
-    JOIN hotel_statistics s ON s.id = h.id WHERE date = (SELECT max(date) FROM hotel_statistics)""")
+    JOIN hotel_statistics s ON s.id = h.id""")
 def _(t):
     return P.hotel_pages(hotel_payload(t), "page", F.col("date")).select("id", "image_url", "accommodation_type")
 
