@@ -52,18 +52,38 @@ FUNCTIONS = {
         "area STRING, date_from DATE", "size STRING, objects BIGINT, occupancy DOUBLE",
         f"SELECT CASE WHEN rooms_num <= 15 THEN 'mini' WHEN rooms_num <= 50 THEN 'mid' ELSE 'large' END, count(DISTINCT id), {WEIGHTED_OCCUPANCY_SQL} FROM hotel_days"
         " WHERE district = segment_metrics.area AND date >= segment_metrics.date_from GROUP BY 1"),
+    "booking_pace": (
+        "date_from DATE, lookback INT", "district STRING, date DATE, occupancy DOUBLE, occupancy_lookback DOUBLE, pickup DOUBLE",
+        "SELECT a.district, a.date, a.occupancy, b.occupancy, a.occupancy - b.occupancy FROM district_days a LEFT JOIN district_days b"
+        " ON b.district = a.district AND b.date = date_sub(a.date, booking_pace.lookback) WHERE a.date >= booking_pace.date_from"),
+    "compare_districts": (
+        "one STRING, other STRING, date_from DATE", "district STRING, occupancy DOUBLE, days BIGINT, adr DOUBLE, revpar DOUBLE",
+        "SELECT o.district, o.occupancy, o.days, p.adr, p.adr * o.occupancy / 100 FROM (SELECT district, avg(occupancy) AS occupancy, count(*) AS days FROM district_days"
+        " WHERE district IN (compare_districts.one, compare_districts.other) AND date >= compare_districts.date_from GROUP BY district) o LEFT JOIN (SELECT district, percentile(min_price, 0.5) AS adr FROM hotel_days"
+        " WHERE date >= compare_districts.date_from AND min_price > 0 GROUP BY district) p ON p.district = o.district"),
+    "compare_forecast_models": (
+        "area STRING", "model STRING, n BIGINT, rmse DOUBLE, mae DOUBLE, bias DOUBLE",
+        "SELECT f.model, count(*), sqrt(avg(pow(f.predicted_occupancy - d.occupancy, 2))), avg(abs(f.predicted_occupancy - d.occupancy)), avg(f.predicted_occupancy - d.occupancy)"
+        " FROM forecasts f JOIN district_days d ON d.district = f.district AND d.date = f.forecast_date WHERE f.district = compare_forecast_models.area GROUP BY f.model"),
 }
 
 
-def register(spark: SparkSession, tables) -> None:
-    """Publish views and table functions. `tables` offers hotels, stats, cal_events, forecasts and weather."""
+def register(spark: SparkSession, tables, effect: DataFrame | None = None) -> None:
+    """Publish views and table functions. `tables` offers hotels, stats, cal_events, forecasts and weather. The event effect is a model: give its
+    stored result (of `Catalog.get_event_effect`), and `event_effect(verdict)` reads it; a null verdict takes all rows."""
     tables.hotels.createOrReplaceTempView("hotels")
     tables.stats.createOrReplaceTempView("hotel_statistics")
     tables.cal_events.createOrReplaceTempView("cal_events")
     tables.forecasts.createOrReplaceTempView("forecasts")
     tables.weather.createOrReplaceTempView("weather")
     K.with_hotel(tables.stats, tables.hotels, "district", "city").createOrReplaceTempView("hotel_days")
-    for name, (params, columns, body) in FUNCTIONS.items():
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW district_days AS SELECT district, date, {WEIGHTED_OCCUPANCY_SQL} AS occupancy FROM hotel_days WHERE rooms_num > 0 GROUP BY district, date")
+    functions = dict(FUNCTIONS)
+    if effect is not None:
+        effect.createOrReplaceTempView("event_effect_result")
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in effect.schema.fields)
+        functions["event_effect"] = ("outcome STRING", columns, "SELECT * FROM event_effect_result WHERE event_effect.outcome IS NULL OR verdict = event_effect.outcome")
+    for name, (params, columns, body) in functions.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS TABLE({columns}) RETURN {body}")
 
 

@@ -45,6 +45,13 @@ def embed(documents: DataFrame, dimensions: int = 256) -> DataFrame:
     return unit.select(*documents.columns, vector_to_array("_u", "float32").alias("embedding"))
 
 
+def stored_index(documents: DataFrame, path: str, dimensions: int = 256) -> DataFrame:
+    """ML-24, index: the documents with metadata and vectors as a table at `path`, built anew: what was there is cleared first, so documents that
+    are gone do not stay. `documents` must not be read from that table."""
+    embed(documents, dimensions).write.mode("overwrite").parquet(path)
+    return documents.sparkSession.read.parquet(path)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two arrays, NULL for a zero vector."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

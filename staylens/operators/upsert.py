@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staylens.session import materialise
+
 
 def latest_version(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """One row per key, the one that sorts last. Combines map-side."""
@@ -109,6 +111,9 @@ def relabel(events: DataFrame, label: Column) -> DataFrame:
     return events.withColumn("event_type", F.when(hit, label).otherwise(F.col("event_type")))
 
 
+MOST_NAMED = 1000
+
+
 @dataclass(frozen=True)
 class KeyedTable:
     """A Parquet table merged by key, partitioned by an expression of its key.
@@ -131,10 +136,15 @@ class KeyedTable:
             return self.spark.createDataFrame([], schema).withColumn(self.partition, F.expr(self.expression))
 
     def merge(self, changes: DataFrame, schema: str, how) -> None:
-        """`how(old, new)` returns the merged rows."""
-        new = changes.withColumn(self.partition, F.expr(self.expression))
+        """`how(old, new)` returns the merged rows. The changes are evaluated once, and of the table only the partitions they fall into are listed and read."""
+        new = materialise(changes.withColumn(self.partition, F.expr(self.expression)))
         touched = new.select(self.partition).distinct()
-        old = self.read(schema).join(touched, self.partition, "left_semi")
+        named = [r[0] for r in touched.limit(MOST_NAMED + 1).collect()]
+        old = self.read(schema)
+        if len(named) <= MOST_NAMED:  # as literals they prune the listing
+            old = old.filter(F.col(self.partition).isin([v for v in named if v is not None]) | (F.col(self.partition).isNull() & F.lit(None in named)))
+        else:
+            old = old.join(touched, self.partition, "left_semi")
         merged = how(old.drop(self.partition), new.drop(self.partition)).withColumn(self.partition, F.expr(self.expression))
         (
             merged.repartition(self.partition, *self.keys)

@@ -12,6 +12,7 @@ from staylens.plans import p02_events as P2
 from staylens.plans.p03_text import EVENT_DOC, HOTEL_DOC
 from staylens.plans.registry import query
 from staylens.session import materialise
+from staylens.streaming import jobs as J
 
 
 def spelled(t):
@@ -91,7 +92,8 @@ def _(t):
 
 @query("ml24_document_index")
 def _(t):
-    return Q.embed(Q.rendered_documents(t.hotels, t.cal_events), 64).select("id", F.size("embedding").alias("dimensions"))
+    index = Q.stored_index(Q.rendered_documents(t.hotels, t.cal_events), J.work_folder(t.spark, "index"), 64)
+    return index.select("id", F.size("embedding").alias("dimensions"), F.col("metadata")["source"].alias("source"), "embedding")
 
 
 CENTRE = """c AS (SELECT label, list(v ORDER BY i) AS q FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY label, i) GROUP BY label)"""

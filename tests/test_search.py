@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import HashingTF
 
 from staylens.operators import search as Q
 
@@ -91,3 +92,22 @@ def test_recall_on_clusters(spark):
     centre = rng.normal(size=(30, 32))
     rows = [(i, [float(x) for x in centre[i % 30] + 0.15 * rng.normal(size=32)]) for i in range(1500)]
     assert recall(spark, rows, 8, 16, 25) >= 0.9
+
+
+def test_index_holds_term_weights(spark, tmp_path):
+    """Vectors are the hashed term counts times the rarity of their places, of unit length; a rebuild clears what is gone."""
+    texts = ["red house by the lake", "red red boat", "", "lake view house", "the boat"]
+    docs = spark.createDataFrame([(f"d{i}", x, {"source": "a" if i % 2 else "b"}) for i, x in enumerate(texts)], "id string, text string, metadata map<string,string>")
+    index = Q.stored_index(docs, str(tmp_path / "index"), 32)
+    place = HashingTF(numFeatures=32).indexOf
+    counts = np.zeros((len(texts), 32))
+    for i, x in enumerate(texts):
+        for w in x.lower().split(" "):
+            counts[i, place(w)] += 1
+    weight = counts * np.log((len(texts) + 1) / ((counts > 0).sum(axis=0) + 1))
+    want = weight / np.maximum(np.linalg.norm(weight, axis=1, keepdims=True), 1e-300)
+    got = {r["id"]: r for r in index.collect()}
+    for i in range(len(texts)):
+        assert np.allclose(got[f"d{i}"]["embedding"], want[i], atol=1e-6) and got[f"d{i}"]["metadata"] == {"source": "a" if i % 2 else "b"}
+    again = Q.stored_index(docs.filter("id <> 'd1'"), str(tmp_path / "index"), 32)
+    assert sorted(r["id"] for r in again.collect()) == ["d0", "d2", "d3", "d4"]
