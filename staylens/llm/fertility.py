@@ -140,9 +140,14 @@ def measured(docs: DataFrame, pieces: str, ranks: str, pattern: str, text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabularies = Vocabularies.of(shared)
-        for batch in batches:
-            found = measures(batch.column(text), vocabularies)
-            yield from C.replace_columns(pa.Table.from_batches([batch]), **{k: pa.array(found[k], pa.int64() if t == "bigint" else pa.float64()) for k, t in types.items()}).to_batches()
+        try:
+            for batch in batches:
+                found = measures(batch.column(text), vocabularies)
+                yield from C.replace_columns(pa.Table.from_batches([batch]), **{k: pa.array(found[k], pa.int64() if t == "bigint" else pa.float64()) for k, t in types.items()}).to_batches()
+        finally:  # a worker goes on to other stages
+            Vocabularies._made.clear()
+            del vocabularies
+            C.trim()
 
     return docs.mapInArrow(run, C.schema_with(docs, **types))
 
