@@ -82,7 +82,7 @@ def decided(t, rows, time, operator, name):
 def _(t):
     requests = J.file_stream(t.spark, t.folder, "events").select(
         F.col("user_id").alias("key"), F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("event_time"))
-    return decided(t, requests, "event_time", lambda r: TS.rate_limit(r, limit=2, period_seconds=7200.0, slot_seconds=7200.0), "limit")
+    return decided(t, requests, "event_time", lambda r: TS.rate_limit(r, limit=2, period_seconds=7200.0, slot_seconds=14 * 86400.0), "limit")
 
 
 # the mean moves at good runs only, by its share of all runs so far
@@ -105,7 +105,7 @@ def _(t):
     v = F.floor("value").cast("int")
     runs = J.file_stream(t.spark, t.folder, "events").select(
         F.col("event_type").alias("source"), F.col("event_id").alias("run_id"), F.col("ts").cast("timestamp").alias("run_time"), (v % 5).alias("items"), (v % 3 == 0).alias("success"))
-    return decided(t, runs, "run_time", TS.source_health, "health")
+    return decided(t, runs, "run_time", lambda r: TS.source_health(r, slot_seconds=86400.0), "health")
 
 
 @query("sm06_staleness_stream", f"""SELECT source, event_id AS run_id, status, CAST(items AS BIGINT) AS items, strftime(run_ts, '%Y-%m-%d %H:%M') AS last_run, CAST(30 AS DOUBLE) AS expected_minutes
@@ -116,7 +116,7 @@ def _(t):
     v = F.floor("value").cast("int")
     runs = runs.select(F.col("event_type").alias("source"), F.col("event_id").alias("run_id"), F.col("ts").cast("timestamp").alias("run_time"),
         F.when(v % 3 == 0, "ok").when(v % 3 == 1, "warn").otherwise("fail").alias("status"), (v % 5).alias("items"))
-    found = decided(t, runs, "run_time", lambda r: TS.staleness(r, F.lit(0.5)), "stale")
+    found = decided(t, runs, "run_time", lambda r: TS.staleness(r, F.lit(0.5), slot_seconds=86400.0), "stale")
     return found.select("source", "run_id", "status", "items", F.date_format("last_run", "yyyy-MM-dd HH:mm").alias("last_run"), "expected_minutes")
 
 
