@@ -170,19 +170,23 @@ class Prime:
     Thue and Morse, say) differ here."""
 
     P = U64(2**31 - 1)
+    _powers: dict[int, np.ndarray] = {}
 
     def __init__(self, symbols: np.ndarray, base: int = 1220703125):
         n = len(symbols)
-        up, self.down = (self._powers(b, n + 1) for b in (base, pow(base, -1, int(self.P))))
+        up, self.down = (self._of(b, n + 1) for b in (base, pow(base, -1, int(self.P))))
         self.sum = np.zeros(n + 1, U64)
         np.cumsum((mix(symbols, 11) >> U64(34)) * up[:n] % self.P, out=self.sum[1:])
 
     @classmethod
-    def _powers(cls, base: int, n: int) -> np.ndarray:
-        out, step = np.ones(1, U64), U64(base)
-        while len(out) < n:  # twice as many with each round
-            out = np.append(out, out * step % cls.P)
-            step = step * step % cls.P
+    def _of(cls, base: int, n: int) -> np.ndarray:
+        out = cls._powers.get(base)
+        if out is None or len(out) < n:
+            out, step = np.ones(1, U64), U64(base)
+            while len(out) < max(n, 1 << 16):  # twice as many with each round
+                out = np.append(out, out * step % cls.P)
+                step = step * step % cls.P
+            cls._powers[base] = out
         return out
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
