@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 from staylens.functions import dates as D
 from staylens.operators import extraction as XT
 from staylens.plans.registry import query
+from staylens.session import spread
 from staylens.sources import payloads as P
 
 TODAY = "(SELECT today FROM event_today)"
 GEN = "([" + ", ".join(f"'{m}'" for m in D.MONTHS_GENITIVE) + "])"
+PAGES = 50_000  # hotel pages that one task writes and reads, at most
 txt = lambda c: F.col(c).cast("string")
 
 
 # --- payloads ---------------------------------------------------------------------------------------------------------
 def hotel_payload(t):
     """Availability pages as the collector lands them: one page per hotel and day, with all its rooms nested."""
-    rows = t.stats.drop("min_price").join(t.hotels, "id")
+    joined = t.stats.drop("min_price").join(t.hotels.hint("shuffle_hash"), "id")  # days are never broadcast, however few bytes are expected
+    rows = spread(joined, t.raw("lineitem").count(), PAGES)
     k = F.col("id").cast("bigint")
     rooms = F.transform(F.sequence(F.lit(1), F.col("rooms_num")), lambda i: F.struct(
         (i % 3).cast("int").alias("free"), F.when(i % 4 == 0, 1).otherwise(0).alias("single_bed"), (i % 2 + 1).cast("int").alias("capacity")))

@@ -70,3 +70,9 @@ def stored(df):
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df, rows: int, each: int):
+    """The rows of a frame dealt evenly to tasks of about `each` of some `rows` rows: where a row of few bytes is much work, the number of tasks
+    must follow the rows, neither the splits of a file nor the size of a shuffle."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // each)))
