@@ -1,4 +1,5 @@
-"""Reference tables as small literal DataFrames (SRC-13). Their size is that of the lists in `model` and below."""
+"""Reference tables as small literal DataFrames (SRC-13). Their size is that of the lists in `model` and below. The planner takes a local
+table for an unbounded one, so those that others are joined with carry a hint: it is they that are broadcast."""
 
 from __future__ import annotations
 
@@ -31,21 +32,21 @@ SCHOOL_EVENTS = (
 def cities(spark: SparkSession) -> DataFrame:
     """City, district and the rank that decides between several matches."""
     rows = [(i, c, d) for i, (c, d) in enumerate(M.CITY_TO_DISTRICT.items())]
-    return spark.createDataFrame(rows, "rank int, city string, district string")
+    return F.broadcast(spark.createDataFrame(rows, "rank int, city string, district string"))
 
 
 def districts(spark: SparkSession) -> DataFrame:
     rows = [(d, lat, lon) for d, (lat, lon) in M.DISTRICT_CENTERS.items()]
-    return spark.createDataFrame(rows, "district string, lat double, lon double")
+    return F.broadcast(spark.createDataFrame(rows, "district string, lat double, lon double"))
 
 
 def city_slugs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(M.CITY_SLUGS.items()), "slug string, city string")
+    return F.broadcast(spark.createDataFrame(list(M.CITY_SLUGS.items()), "slug string, city string"))
 
 
 def seasons(spark: SparkSession) -> DataFrame:
     rows = [(m, s) for s, months in M.SEASON_MONTHS.items() for m in months]
-    return spark.createDataFrame(rows, "month int, season string")
+    return F.broadcast(spark.createDataFrame(rows, "month int, season string"))
 
 
 def major_events(spark: SparkSession) -> DataFrame:
