@@ -38,18 +38,29 @@ def rolled_year(month: Column, day: Column, today: Column) -> Column:
     return F.year(today) + F.when(passed, 1).otherwise(0)
 
 
-def russian_date(text: str | Column, today: Column) -> Column:
-    """SC-17: 'D month [YYYY]' with the year rolled forward when it is not given, else 'D.M[.YY[YY]]'."""
+def date_parts(text: str | Column) -> dict[str, Column]:
+    """What `russian_date` reads of a text: numbers and names of both ways to write a date."""
     c = F.lower(F.trim(col(text)))
     named = r"(\d{1,2})\s+([\p{L}\p{N}_]+)(?:\s+(\d{4}))?"
-    day, month = extract(c, named, 1).try_cast("int"), month_number(extract(c, named, 2))
-    year = F.coalesce(extract(c, named, 3).try_cast("int"), rolled_year(month, day, today))
     dotted = r"(\d{1,2})\.(\d{1,2})(?:\.(\d{2,4}))?"
-    d2, m2, y2 = (extract(c, dotted, i).try_cast("int") for i in (1, 2, 3))
+    whole = lambda pattern, i: extract(c, pattern, i).try_cast("int")
+    return {"_day": whole(named, 1), "_month": month_number(extract(c, named, 2)), "_year": whole(named, 3),
+            "_d2": whole(dotted, 1), "_m2": whole(dotted, 2), "_y2": whole(dotted, 3)}
+
+
+def date_of(parts: dict[str, Column], today: Column) -> Column:
+    day, month, d2, m2, y2 = (parts[c] for c in ("_day", "_month", "_d2", "_m2", "_y2"))
+    year = F.coalesce(parts["_year"], rolled_year(month, day, today))
     y2 = F.when(y2 < 100, y2 + 2000).otherwise(F.coalesce(y2, F.year(today)))
     return F.when(month.isNotNull(), make(year, month, day)).otherwise(make(y2, m2, d2))
 
 
+def russian_date(text: str | Column, today: Column) -> Column:
+    """SC-17: 'D month [YYYY]' with the year rolled forward when it is not given, else 'D.M[.YY[YY]]'. The result names each part several times;
+    over many rows, compute `date_parts` as columns first and take `date_of` them."""
+    return date_of(date_parts(text), today)
+
+
 def russian_range(text: str | Column, today: Column) -> tuple[Column, Column]:
     """SC-18: 'с 1 апреля по 7 мая' or '15-22 марта'; an end not after the start is dropped."""
     c = F.lower(col(text))

@@ -56,6 +56,13 @@ def computed(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def dated(rows: DataFrame, text: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """The rows with the parts of the date that a text names, each read once, and these columns for `dates.date_of`."""
+    rows = computed(rows, _date=text)
+    parts = D.date_parts("_date")
+    return computed(rows, **parts), {n: F.col(n) for n in parts}
+
+
 # --- JSON-LD ---------------------------------------------------------------------------------------------------------
 def script_blocks(pages: DataFrame, html: str, *keep: str) -> DataFrame:
     """SC-37, first half: the JSON-LD script bodies of a page."""
@@ -221,10 +228,11 @@ def listing_events(pages: DataFrame, html: str, today: Column, *keep: str) -> Da
     venue_like = lambda x, n: before_stop(n) & ~skip(x) & low(x).rlike(VENUE_LINE) & (F.length(x) > 3) & (F.length(x) < 80)
     line = F.lower(F.element_at(lines, i))
     window = F.lower(F.array_join(F.slice(lines, F.greatest(i - 3, F.lit(1)), F.least(i - 1, F.lit(3)) + 5), "\n"))
+    rows, parts = dated(rows, S.extract(line, DATE_LINE, 0))
     out = computed(rows, title=F.try_element_at(F.filter(above, title_like), F.lit(1))).select(
         *keep, i.alias("line"), "title",
         F.coalesce(F.try_element_at(F.filter(below, venue_like), F.lit(1)), F.lit("Иркутск")).alias("location"),
-        F.coalesce(D.russian_date(S.extract(line, DATE_LINE, 0), today), today).alias("date_start"),
+        F.coalesce(D.date_of(parts, today), today).alias("date_start"),
         S.extract(line, DATE_LINE_TIME, 3).alias("time_start"), S.extract(window, PRICE_LINE).try_cast("int").alias("price_min"))
     return out.filter(F.col("title").isNotNull() & S.is_valid_title("title"))
 
@@ -236,9 +244,9 @@ def markdown_events(pages: DataFrame, markdown: str, source: str, today: Column,
     lines = F.split(F.trim("block"), "\n")
     low = F.lower("block")
     price = r"от\s*(\d+)\s*(?:руб|₽|р\.?)"
+    rows, parts = dated(rows.withColumn("_today", today), S.extract(low, DATE_LINE, 0))
     rows = computed(
-        rows.withColumn("_today", today), title=F.trim(F.element_at(lines, 1)),
-        day=F.coalesce(D.russian_date(S.extract(low, DATE_LINE, 0), F.col("_today")), F.col("_today")),
+        rows, title=F.trim(F.element_at(lines, 1)), day=F.coalesce(D.date_of(parts, F.col("_today")), F.col("_today")),
         text=F.trim(F.array_join(F.slice(lines, 2, 3), " ")))
     title, day, text = F.col("title"), F.col("day"), F.col("text")
     return rows.filter(F.length(title).between(5, 200) & ~F.lower(title).rlike(S.any_of(SERVICE_HEADINGS))).select(
@@ -317,8 +325,11 @@ def posts_to_events(posts: DataFrame, text: str, posted: str, source: Column, to
     candidate = F.coalesce(
         S.extract(low, rf"(?:с\s+)?(\d{{1,2}}(?:\s*[-–]\s*\d{{1,2}})?\s+(?:{MONTHS})(?:\s+\d{{4}})?)", 0),
         S.extract(low, r"(\d{1,2}\.\d{1,2}(?:\.\d{2,4})?)(?:[^\p{L}\p{N}_]|$)", 1))
-    day = F.coalesce(D.russian_date(candidate, today), D.coerce_date(S.extract(c, r"(\d{4}-\d{2}-\d{2})")), D.relative_date(c, F.col("_posted")), F.col("_posted"))
-    rows = computed(fit, title=title, date_start=day)
+    rows = computed(fit.withColumn("_today", today), _date=candidate, _iso=S.extract(c, r"(\d{4}-\d{2}-\d{2})"))
+    rows = computed(rows, **D.date_parts("_date"))
+    parts = {n: F.col(n) for n in D.date_parts("_date")}
+    day = F.coalesce(D.date_of(parts, F.col("_today")), D.coerce_date("_iso"), D.relative_date(c, F.col("_posted")), F.col("_posted"))
+    rows = computed(rows, title=title, date_start=day)
     t = F.col("title")
     greeting = (F.length(t) < 50) & F.lower(t).rlike(GREETING) & ~F.lower(t).rlike(key) & (F.upper(t) == t)
     kept = rows.filter(t.isNotNull() & ~greeting & (F.abs(F.datediff("date_start", today)) <= 365))
@@ -342,8 +353,9 @@ def ticket_blocks(pages: DataFrame, markdown: str, source: str, today: Column, *
     number = lambda n: F.regexp_replace(F.regexp_extract("prices", spread, n), r"\s", "").try_cast("int")
     caption = F.regexp_extract("name", r"^!\[([^\]]{3,})\]", 1)
     heading = F.trim(F.regexp_extract("name", r"^#+\s+(.+)$", 1))
-    rows = computed(rows.drop("lines"), title=F.when(caption != "", F.trim(caption)).when((heading != "") & F.col("above").rlike(r"^!\["), heading),
-                    date_start=D.russian_date(F.col("when"), F.col("_today")), price_min=number(1), price_max=number(2))
+    rows, parts = dated(rows.drop("lines"), F.col("when"))
+    rows = computed(rows, title=F.when(caption != "", F.trim(caption)).when((heading != "") & F.col("above").rlike(r"^!\["), heading),
+                    date_start=D.date_of(parts, F.col("_today")), price_min=number(1), price_max=number(2))
     found = rows.filter(F.col("title").isNotNull() & F.col("date_start").isNotNull() & ~F.lower("title").rlike(NOISE_LINE))
     return found.select(*keep, "title", "date_start", "price_min", "price_max", S.event_id(F.lit(source), F.col("date_start").cast("string"), F.col("title")).alias("event_id"))
 

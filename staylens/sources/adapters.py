@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staylens.functions import metrics as X
+from staylens.session import spread
 
+CARDS = 50_000  # listing cards that one task reads
 
 # Words of the synthetic listing cards.
 GENITIVE = (
@@ -170,7 +172,8 @@ class Tables:
     def listing(self) -> DataFrame:
         """Raw event listings: one noisy Russian card per order, so that the text functions have text to read."""
         k = F.col("o_orderkey")
-        joined = self.raw("orders").join(self.raw("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        orders = self.raw("orders")
+        joined = spread(orders, orders.count(), CARDS).join(self.raw("customer"), F.col("o_custkey") == F.col("c_custkey"))
         day = F.to_date("o_orderdate")
         d, m, y = F.dayofmonth(day), F.month(day), F.year(day)
         txt = lambda c: c.cast("string")
