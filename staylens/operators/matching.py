@@ -16,7 +16,7 @@ from staylens.functions import metrics as X
 from staylens.functions.similarity import highest_ratio, parts_ratio, token_parts
 from staylens.operators import blocks as B
 from staylens.operators.events import EVENT_COLUMNS, merge_groups
-from staylens.session import materialise, ship_package, stored
+from staylens.session import materialise, ship_package, spread, stored
 
 FUZZY_THRESHOLD = 88.0
 # A pair above the threshold shares at least this part of the smaller side's letter pairs: with L characters a title has
@@ -113,17 +113,30 @@ def _lon_cell(lon: Column, cy: Column, radius_km: float) -> Column:
     return F.floor(lon * F.greatest(F.cos(F.radians(F.least(widest, F.lit(89.0)))), F.lit(0.01)) / step)
 
 
+SHEET = 256
+
+
+def _sheets(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of equal coordinates in sheets of at most `SHEET` ids, so that a crowded place is neither one row nor one task."""
+    placed = rows.filter("lat IS NOT NULL AND lon IS NOT NULL").select(F.col("id").alias(name), "lat", "lon")
+    dealt = B.numbered(placed, ["lat", "lon"], [name], "i")
+    return dealt.groupBy("lat", "lon", F.floor(F.col("i") / SHEET).alias("sheet")).agg(F.collect_list(F.struct(name)).alias(f"{name}s")).drop("sheet")
+
+
 def pairs_within(left: DataFrame, right: DataFrame, radius_km: float) -> DataFrame:
     """Pairs (left id, right key, km) closer than the radius. Right rows are registered in the three latitude bands and
-    three longitude cells around them, each left row looks into its own cell: an equi-join on cells."""
-    l = _cells(left.select(F.col("id").alias("l"), "lat", "lon"), radius_km)
+    three longitude cells around them, each left row looks into its own cell: an equi-join on cells. Rows of equal coordinates are measured
+    once, and only sheets of ids that are close are sent on; their pairs are written where they are read."""
+    l = _cells(_sheets(left, "l"), radius_km)
     l = l.withColumn("cx", _lon_cell(F.col("lon"), F.col("cy"), radius_km))
-    r = _cells(right.select(F.col("id").alias("r"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"), "lat"), radius_km).drop("lat")
+    r = _cells(_sheets(right, "r"), radius_km).withColumnsRenamed({"lat": "rlat", "lon": "rlon"})
     r = r.withColumn("cy", F.explode(F.array(F.col("cy") - 1, F.col("cy"), F.col("cy") + 1)))
     x = _lon_cell(F.col("rlon"), F.col("cy"), radius_km)
     r = r.withColumn("cx", F.explode(F.array(x - 1, x, x + 1)))
     km = X.haversine_km(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon"))
-    return l.join(r, ["cy", "cx"]).select("l", "r", km.alias("km")).filter(F.col("km") < radius_km)
+    near = stored(l.join(r, ["cy", "cx"]).select("ls", "rs", km.alias("km")).filter(F.col("km") < radius_km))
+    pairs = near.agg(F.sum(F.size("ls").cast("bigint") * F.size("rs"))).first()[0] or 0
+    return spread(near, pairs, 1_000_000).select(F.inline("ls"), "rs", "km").select("l", F.inline("rs"), "km").select("l", "r", "km")
 
 
 LEAF, FAN, LISTED, SHRINK, SMALL = 64, 16, 16, 4, 20_000

@@ -155,3 +155,16 @@ def test_matching_without_partners(spark):
     none, one = spark.createDataFrame([], SPOT), spark.createDataFrame([("a", 52.0, 104.0), ("b", None, 104.0), ("c", 0.0, 0.0)], SPOT)
     assert G.match_one_to_one(none, one).collect() == [] == G.match_one_to_one(one, none).collect()
     assert [tuple(r) for r in G.match_one_to_one(one, one).collect()] == [("a", "a", 0.0)]
+
+
+def test_pairs_within_measures_equal_coordinates_once(spark, monkeypatch):
+    """More rows at one place than a sheet holds, ids that are null or repeated, and places that are not known: every pair is there."""
+    monkeypatch.setattr(G, "SHEET", 3)
+    schema = "id string, lat double, lon double"
+    left = [(f"l{i}", 52.0, 104.0) for i in range(7)] + [(None, 52.0, 104.0), ("l0", 52.0, 104.0), ("far", 53.0, 104.0), ("none", None, 104.0)]
+    right = [(f"r{i}", 52.01, 104.0) for i in range(5)] + [("r0", 52.01, 104.0), ("none", None, None)]
+    a, b = (spark.createDataFrame(rows, schema) for rows in (left, right))
+    found = G.pairs_within(a, b, 5.0)
+    assert sorted((r.l or "", r.r) for r in found.collect()) == sorted((x or "", y) for x, lat, _ in left if lat == 52.0 for y, at, _ in right if at)
+    sheets = G._sheets(a, "l").collect()
+    assert max(len(s.ls) for s in sheets) == 3 and len(sheets) == 4
