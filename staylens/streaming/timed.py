@@ -2,7 +2,8 @@
 
 The rows of a key are never gathered in a frame: each Arrow batch is dealt to slots of `slot_seconds`, which lie in the state store, and a timer per slot
 fires when no earlier row can arrive any more. So the order is that of the events, not of files or triggers, and what a task holds of a key is
-one slot. Rows later than the watermark are dropped, as everywhere in event time, and so are rows without a time. A null count is 0, a null success a failure, a null
+one slot. What arrives for a slot is put beside what waits there, not written again with it. Where keys are many and have few rows each (request limits),
+the state is that of a bucket of keys: calls to the store follow the buckets, not the keys, and what a task holds is one slot of a bucket. Rows later than the watermark are dropped, as everywhere in event time, and so are rows without a time. A null count is 0, a null success a failure, a null
 status an empty one; a null id stays one and comes last among equal times. The state store must be one with
 timers (`with_timers` sets it for a query that starts, and leaves the session as it was)."""
 
@@ -10,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,51 +38,68 @@ def with_timers(spark: SparkSession):
             spark.conf.set(PROVIDER, before)
 
 
-NOTHING = -(1 << 31)  # a null whole number in state, whose arrays take none
+NOTHING = -(1 << 63)  # a null whole number in state, whose arrays take none
 
 
-def whole(v) -> int:
-    return NOTHING if pd.isna(v) else int(v)
+def number(s: pd.Series) -> list[float]:
+    return s.astype("float64").tolist()
 
 
-def text(v) -> str:
-    return "" if pd.isna(v) else str(v)
+def whole(s: pd.Series) -> list[int]:
+    return s.fillna(NOTHING).astype("int64").tolist()
 
 
-def yes(v) -> bool:
-    return not pd.isna(v) and bool(v)
+def text(s: pd.Series) -> list[str]:
+    return ["" if pd.isna(v) else str(v) for v in s]
+
+
+def yes(s: pd.Series) -> list[bool]:
+    return [not pd.isna(v) and bool(v) for v in s]
 
 
 class Slots(StatefulProcessor):
     """Rows (`ts` in seconds and other columns) that wait for the watermark; `decide` gets those of one slot in order of `order`."""
 
-    columns, casts, order, kinds = ("ts",), (float,), ("ts",), "ts array<double>"
+    columns, casts, order, kinds = ("ts",), (number,), ("ts",), "ts array<double>"
 
     def __init__(self, slot_seconds: float):
         self.width = max(1, int(slot_seconds * 1000))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "slot long", self.kinds)
+        self.parts = handle.getMapState("parts", "slot long", "n int")
+        self.waiting = handle.getMapState("waiting", "slot long, part int", self.kinds)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             end = ((pdf["ts"] * 1000) // self.width + 1).astype("int64") * self.width
             for slot, part in pdf.groupby(end.to_numpy()):
-                held = self.waiting.getValue((int(slot),)) if self.waiting.containsKey((int(slot),)) else None
-                if held is None:
+                n = self.parts.getValue((int(slot),))
+                if n is None:
                     self.handle.registerTimer(int(slot))
-                added = [[cast(v) for v in part[c]] for c, cast in zip(self.columns, self.casts)]
-                self.waiting.updateValue((int(slot),), tuple(added if held is None else [list(h) + a for h, a in zip(held, added)]))
+                n = 0 if n is None else n[0]
+                self.waiting.updateValue((int(slot), n), tuple(cast(part[c]) for c, cast in zip(self.columns, self.casts)))
+                self.parts.updateValue((int(slot),), (n + 1,))
         return iter(())
 
+    def taken(self, slot: int, n: int) -> pd.DataFrame:
+        """All that waits in a slot, which is empty afterwards."""
+        parts = []
+        for i in range(n):
+            parts.append(self.waiting.getValue((slot, i)))
+            self.waiting.removeKey((slot, i))
+        self.parts.removeKey((slot,))
+        out = {}
+        for c, cast, held in zip(self.columns, self.casts, zip(*parts)):
+            values = [v for h in held for v in h]
+            out[c] = pd.Series(values, dtype="Int64").replace(NOTHING, pd.NA) if cast is whole else values
+        return pd.DataFrame(out)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         slot = expiredTimerInfo.getExpiryTimeInMs()
-        if self.waiting.containsKey((slot,)):
-            held = zip(self.columns, self.casts, self.waiting.getValue((slot,)))
-            pdf = pd.DataFrame({c: pd.array([None if v == NOTHING else v for v in h], "Int64") if cast is whole else list(h) for c, cast, h in held})
-            self.waiting.removeKey((slot,))
-            yield from self.decide(key[0], pdf.sort_values(list(self.order), kind="stable"), timerValues.getCurrentWatermarkInMs())
+        n = self.parts.getValue((slot,))
+        if n is not None:
+            yield from self.decide(key[0], self.taken(slot, n[0]).sort_values(list(self.order), kind="stable"), timerValues.getCurrentWatermarkInMs())
         else:
             yield from self.silent(key[0], slot)
 
@@ -95,7 +115,10 @@ class Slots(StatefulProcessor):
 
 
 class RequestLimit(Slots):
-    columns, casts, order, kinds = ("ts", "request_id"), (float, whole), ("ts", "request_id"), "ts array<double>, request_id array<long>"
+    """The requests of a bucket of keys; what is kept of each key lies in one record of the bucket."""
+
+    columns, casts, order = ("key", "ts", "request_id"), (whole, number, whole), ("key", "ts", "request_id")
+    kinds = "key array<long>, ts array<double>, request_id array<long>"
 
     def __init__(self, limit: int, period: float, slot_seconds: float):
         super().__init__(slot_seconds)
@@ -103,33 +126,52 @@ class RequestLimit(Slots):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.kept = handle.getValueState("kept", "at array<double>")
+        self.kept = handle.getValueState("kept", "key array<long>, at array<double>")
 
-    def decide(self, key, pdf: pd.DataFrame, watermark_ms: int) -> Iterator[pd.DataFrame]:
-        kept = list(self.kept.get()[0]) if self.kept.exists() else []
-        decisions, kept = ST.allowed_instants(pdf["ts"].tolist(), kept, self.limit, self.period)
-        self.kept.update((kept,))
+    def keep(self, kept: dict[int, list[float]], after: float) -> None:
+        """Store the instants that a request later than `after` by the period can still meet."""
+        rows = [(k, t) for k, times in kept.items() for t in times if t > after]
+        if rows:
+            self.kept.update(tuple(map(list, zip(*rows))))
+        else:
+            self.kept.clear()
+
+    def instants(self) -> dict[int, list[float]]:
+        kept: dict[int, list[float]] = {}
+        for k, t in zip(*self.kept.get()) if self.kept.exists() else ():
+            kept.setdefault(k, []).append(t)
+        return kept
+
+    def decide(self, bucket, pdf: pd.DataFrame, watermark_ms: int) -> Iterator[pd.DataFrame]:
+        kept, decisions = self.instants(), []
+        for key, rows in groupby(zip(whole(pdf["key"]), pdf["ts"].tolist()), key=itemgetter(0)):
+            allowed, kept[key] = ST.allowed_instants([t for _, t in rows], kept.get(key, []), self.limit, self.period)
+            decisions += allowed
+        first, last = pdf["ts"].min(), pdf["ts"].max()
+        self.keep(kept, first // (self.width / 1000) * (self.width / 1000) - self.period)
         # odd, so that it is no slot's own timer
-        self.handle.registerTimer(int((pdf["ts"].iloc[-1] + self.period) * 1000) // self.width * self.width + self.width + 1)
-        yield pd.DataFrame({"key": key, "request_id": pdf["request_id"].to_numpy(), "ts": pdf["ts"].to_numpy(), "allowed": decisions})
+        self.handle.registerTimer(int((last + self.period) * 1000) // self.width * self.width + self.width + 1)
+        yield pdf[["key", "request_id", "ts"]].assign(allowed=decisions)
 
-    def silent(self, key, at_ms: int) -> Iterator[pd.DataFrame]:
-        if self.kept.exists() and all(t <= at_ms / 1000 - self.period for t in self.kept.get()[0]):
-            self.kept.clear()
+    def silent(self, bucket, at_ms: int) -> Iterator[pd.DataFrame]:
+        if self.kept.exists():
+            self.keep(self.instants(), at_ms / 1000 - self.period)
         return iter(())
 
 
-def rate_limit(requests: DataFrame, limit: int = 10, period_seconds: float = 60.0, delay: str = "10 seconds", slot_seconds: float = 60.0) -> DataFrame:
+def rate_limit(requests: DataFrame, limit: int = 10, period_seconds: float = 60.0, delay: str = "10 seconds", slot_seconds: float = 60.0, buckets: int = 2048) -> DataFrame:
     """SM-04 in event time: allowed or refused per request once the watermark has passed it. `requests` has key, request_id and event_time. The
-    state of a key goes when the watermark has passed its last request by the period."""
-    timed = requests.select("key", "request_id", "event_time", (F.unix_micros("event_time") / 1000000).alias("ts")).filter("event_time IS NOT NULL").withWatermark("event_time", delay)
-    return timed.groupBy("key").transformWithStateInPandas(
+    state of a key goes when the watermark has passed its last request by the period. Keys are dealt to `buckets` by their hash; more buckets hold fewer
+    requests of a slot each."""
+    whole_or_nothing = [F.coalesce(F.col(c).cast("long"), F.lit(NOTHING)).alias(c) for c in ("key", "request_id")]  # a null would make floats of a batch's numbers in Python
+    timed = requests.select(*whole_or_nothing, "event_time", (F.unix_micros("event_time") / 1000000).alias("ts")).filter("event_time IS NOT NULL").withWatermark("event_time", delay)
+    return timed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").transformWithStateInPandas(
         RequestLimit(limit, period_seconds, slot_seconds), "key long, request_id long, ts double, allowed boolean", "Append", "EventTime")
 
 
 class Health(Slots):
-    columns, casts, order = ("ts", "run_id", "items", "success"), (float, whole, whole, yes), ("ts", "run_id")
-    kinds = "ts array<double>, run_id array<long>, items array<int>, success array<boolean>"
+    columns, casts, order = ("ts", "run_id", "items", "success"), (number, whole, whole, yes), ("ts", "run_id")
+    kinds = "ts array<double>, run_id array<long>, items array<long>, success array<boolean>"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
@@ -157,8 +199,8 @@ def source_health(runs: DataFrame, delay: str = "10 minutes", slot_seconds: floa
 class Silence(Slots):
     """The last run of a source, and a timer at which its absence has lasted too long."""
 
-    columns, casts, order = ("ts", "run_id", "status", "items", "hours"), (float, whole, text, whole, float), ("ts", "run_id")
-    kinds = "ts array<double>, run_id array<long>, status array<string>, items array<int>, hours array<double>"
+    columns, casts, order = ("ts", "run_id", "status", "items", "hours"), (number, whole, text, whole, number), ("ts", "run_id")
+    kinds = "ts array<double>, run_id array<long>, status array<string>, items array<long>, hours array<double>"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
@@ -171,7 +213,7 @@ class Silence(Slots):
                 rows.append(self.row(key, last))
             last = (float(ts), None if pd.isna(run_id) else int(run_id), status, None if pd.isna(items) else int(items), float(hours), False)
         at = int(self.stale(last) * 1000) + 1
-        if at < watermark_ms and next(self.waiting.keys(), None) is None:  # nothing waits that could have come in time
+        if at < watermark_ms and next(self.parts.keys(), None) is None:  # nothing waits that could have come in time
             rows.append(self.row(key, last))
             last = (*last[:5], True)
         else:

@@ -66,6 +66,34 @@ def test_files_out_of_order(spark, tmp_path):
     assert got.filter("request_id = 999").count() == 0 and got.count() == 300
 
 
+def test_many_keys_of_a_bucket_and_rows_without_a_key(spark, tmp_path):
+    """Many keys share the state of a bucket, each is limited on its own. A row without a key in the same batch leaves the other keys what they are, exact beyond 2^53."""
+    big = (1 << 60) + 1
+    rows = [(T0 + i % 40, big + i % 500, big + i) for i in range(2000)] + [(T0 + i, None, i) for i in range(6)] + [(T0 + 3, big, None)]
+    (tmp_path / "in").mkdir()
+    schema = land(spark, tmp_path / "in", rows + [(FAR, None, None)], REQUESTS, "a")
+    got = drain(spark, tmp_path / "in", schema, lambda s: TS.rate_limit(s, 2, 60.0, buckets=8), "buckets").collect()
+    found = sorted((r["key"] is None, r["key"] or 0, r["ts"], r["request_id"] is None, r["request_id"] or 0, r["allowed"]) for r in got)
+    want = []
+    for key in {r[1] for r in rows}:
+        order = sorted((t, i is None, i or 0) for t, k, i in rows if k == key)
+        want += [(key is None, key or 0, *o, ok) for o, ok in zip(order, ST.allowed_instants([o[0] for o in order], [], 2, 60.0)[0])]
+    assert found == sorted(want)
+
+
+def test_kept_instants_reach_over_slots(spark, tmp_path):
+    """Requests of many slots and deliveries: what is kept of a key between slots decides the next, and goes after the period."""
+    rnd = random.Random(7)
+    rows = [(T0 + rnd.randrange(60_000) / 100, rnd.randint(1, 9), i) for i in range(900)]
+    (tmp_path / "in").mkdir()
+    limited = lambda s: TS.rate_limit(s, 3, 25.0, delay="1 second", slot_seconds=10, buckets=2)
+    for n, (low, high) in enumerate([(0, 200), (200, 400), (400, 600)]):
+        part = [r for r in rows if T0 + low <= r[0] < T0 + high] + ([(FAR, -1, -1)] if high == 600 else [])
+        schema = land(spark, tmp_path / "in", part, REQUESTS, f"p{n}")
+        got = drain(spark, tmp_path / "in", schema, limited, "kept")
+    assert {r["request_id"]: r["allowed"] for r in got.collect()} == replay(rows, 3, 25.0)
+
+
 RUNS = "run_time double, source string, run_id long, items int, success boolean"
 
 
