@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.session import materialise
+from staylens.session import stored
 
 
 def latest_version(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -112,6 +112,7 @@ def relabel(events: DataFrame, label: Column) -> DataFrame:
 
 
 MOST_NAMED = 1000
+PIECE = 500_000  # rows of a partition that one task brings together
 
 
 @dataclass(frozen=True)
@@ -136,19 +137,38 @@ class KeyedTable:
             return self.spark.createDataFrame([], schema).withColumn(self.partition, F.expr(self.expression))
 
     def merge(self, changes: DataFrame, schema: str, how) -> None:
-        """`how(old, new)` returns the merged rows. The changes are evaluated once, and of the table only the partitions they fall into are listed and read."""
-        new = materialise(changes.withColumn(self.partition, F.expr(self.expression)))
-        touched = new.select(self.partition).distinct()
-        named = [r[0] for r in touched.limit(MOST_NAMED + 1).collect()]
+        """`how(old, new)` returns the merged rows. The changes are evaluated once, and of the table only the partitions they fall into are listed and read.
+        A partition is written by one task, or by several where it is large, so that its files follow its size and not the number of tasks."""
+        new, old, _ = self.sides(changes, schema)
+        merged = how(old.drop(self.partition), new.drop(self.partition)).withColumn(self.partition, F.expr(self.expression))
+        self.replace(merged.hint("rebalance", self.partition))
+
+    def merge_latest(self, changes: DataFrame, schema: str, order: str) -> None:
+        """`merge` where of a key's rows, stored and new, the one that sorts last by `order` stays. Rows meet by partition and a piece of the key's hash, as many
+        pieces as the largest partition has times `PIECE` rows: one shuffle and one sort choose the rows and leave them as they are written."""
+        new, old, largest = self.sides(changes, schema)
+        both = old.select(*new.columns).unionByName(new).withColumn("_piece", F.pmod(F.xxhash64(*self.keys), F.lit(-(-largest // PIECE) or 1)))
+        keys = [self.partition, *self.keys, "_piece"]
+        self.replace(latest_version(both.repartition(self.partition, "_piece"), keys, [order]).drop("_piece"))
+
+    def sides(self, changes: DataFrame, schema: str) -> tuple[DataFrame, DataFrame, int]:
+        """The changes, stored once; the partitions of the table that they fall into; at least the number of rows that one partition has of both."""
+        new = stored(changes.withColumn(self.partition, F.expr(self.expression)))
+        touched = new.groupBy(self.partition).agg(F.count("*").alias("n"))
+        named = touched.limit(MOST_NAMED + 1).collect()
         old = self.read(schema)
+        old = old.withColumn(self.partition, F.col(self.partition).cast(new.schema[self.partition].dataType))
         if len(named) <= MOST_NAMED:  # as literals they prune the listing
-            old = old.filter(F.col(self.partition).isin([v for v in named if v is not None]) | (F.col(self.partition).isNull() & F.lit(None in named)))
+            old = old.filter(F.col(self.partition).isin([r[0] for r in named if r[0] is not None]) | (F.col(self.partition).isNull() & F.lit(None in [r[0] for r in named])))
         else:
-            old = old.join(touched, self.partition, "left_semi")
-        merged = how(old.drop(self.partition), new.drop(self.partition)).withColumn(self.partition, F.expr(self.expression))
+            old = old.join(touched.select(self.partition), self.partition, "left_semi")
+        most = [df.agg(F.max("n")).first()[0] or 0 for df in (touched, old.groupBy(self.partition).agg(F.count("*").alias("n")))]
+        return new, old, sum(most)
+
+    def replace(self, rows: DataFrame) -> None:
+        """Write whole partitions in place of the stored ones."""
         (
-            merged.repartition(self.partition, *self.keys)
-            .sortWithinPartitions(self.partition, *self.keys)
+            rows.sortWithinPartitions(self.partition, *self.keys)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(self.partition)

@@ -39,12 +39,11 @@ def drain(writer, checkpoint: str) -> None:
 
 def ingest_statistics(snapshots: DataFrame, table: U.KeyedTable, order: str = "ingest_order"):
     """SM-01 / SM-03: hotel-day snapshots into the statistics table. Within a micro-batch the snapshot that sorts last
-    counts; a later one replaces what is stored, an older late-comer does not."""
+    counts; a later one replaces what is stored, an older late-comer does not. Both are one choice among stored and new rows."""
     schema = M.HOTEL_STATISTICS + f", {order} long"
 
     def merge(batch: DataFrame, _: int) -> None:
-        rows = U.latest_version(U.valid_keys(batch, ["id", "date"]), ["id", "date"], [order])
-        table.merge(rows, schema, lambda old, new: U.latest_version(old.select(*new.columns).unionByName(new), ["id", "date"], [order]))
+        table.merge_latest(U.valid_keys(batch, ["id", "date"]), schema, order)
 
     return snapshots.select(*STATISTICS_COLUMNS, order).writeStream.foreachBatch(merge)
 

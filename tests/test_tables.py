@@ -178,3 +178,28 @@ def test_changed_event_arrives_later(spark, tmp_path):
         stream = stream_of(spark, tmp_path, row.select(*columns, "ingest_ts", "ingest_order"), f"d{n}")
         J.drain(J.ingest_events(stream, table), str(tmp_path / f"cp{n}"))
     assert [(r.event_id, r.price_min) for r in spark.read.parquet(table.path).collect()] == [("e1", 250)]
+
+
+def test_statistics_files_follow_rows_not_tasks(spark, tmp_path):
+    """Two deliveries in months of few rows: a month is one file whatever the number of tasks, and the newest snapshot of a key stays."""
+    table = U.statistics_table(spark, str(tmp_path / "table"))
+    day = lambda i: dt.date(2026, 1 + i % 3, 1 + i % 28)
+    def frame(orders):
+        rows = [(f"h{i % 50}", day(i), o, 0, 0.0, 0, 0, o * 1000 + i) for i in range(840) for o in orders]
+        rows += [(None, day(1), 9, 0, 0.0, 0, 0, 1), ("", day(1), 9, 0, 0.0, 0, 0, 1), ("h1", None, 9, 0, 0.0, 0, 0, 1)]
+        df = spark.createDataFrame(rows, "id string, date date, rooms_num int, free_rooms_amount int, available_rooms_percent double, min_price int, max_capacity int, ingest_order long")
+        return df.withColumn("updated_at", F.lit(None).cast("timestamp"))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        for n, orders in enumerate([(3, 2), (1,), (4,)]):
+            J.drain(J.ingest_statistics(stream_of(spark, tmp_path, frame(orders), f"s{n}"), table), str(tmp_path / f"scp{n}"))
+            got = {(r["id"], r["date"]): (r["rooms_num"], r["ingest_order"]) for r in spark.read.parquet(table.path).collect()}
+            best = 4 if n == 2 else 3
+            want = {}
+            for i in range(840):
+                want[(f"h{i % 50}", day(i))] = (best, best * 1000 + i)
+            assert got == want and spark.read.parquet(table.path).count() == len(want)
+            assert [len(list(m.glob("*.parquet"))) for m in (tmp_path / "table").glob("month=*")] == [1, 1, 1]
+    finally:
+        spark.conf.unset(coalesce)
