@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.session import materialise, ship_package
+from staylens.session import ship_package, stored
 
 BUNDLE, ROW = "__bundle", "__row"
 MESSAGE = "block int, bundle int, blob binary"
@@ -322,21 +322,50 @@ def union_find(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
+EDGES, AT_ONCE = "u bigint, v bigint, open boolean", 1 << 20
+
+
+def star(u: np.ndarray, v: np.ndarray, open: np.ndarray) -> pa.RecordBatch:
+    """Every node but the smallest of what hangs together by the edges u > v, with the smallest. Open tells of edges that were open before, or of
+    a node that had no smaller neighbour before."""
+    node, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    low = union_find(len(node), at[: len(u)], at[len(u) :])
+    below = low < np.arange(len(node))
+    had = np.zeros(len(node), bool)
+    had[at[: len(u)]] = True
+    still = open.any() or (below & ~had).any()
+    return pa.RecordBatch.from_arrays([pa.array(node[below]), pa.array(node[low[below]]), pa.array(np.full(np.count_nonzero(below), still))], names=["u", "v", "open"])
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """Edges (u, v, open), u > v, joined up within each task: in pieces of about AT_ONCE edges, dealt by u so that a repeated task finds the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v", "open")] for batch in batches if batch.num_rows]
+        if got:
+            u, v, open = map(np.concatenate, zip(*got))
+            pieces = -(-len(u) // AT_ONCE)
+            piece = mix(u.view(U64), 13) % U64(pieces)
+            for i in range(pieces):
+                own = piece == i
+                if own.any():
+                    yield star(u[own], v[own], open[own])
+
+    return edges.select("u", "v", "open").mapInArrow(run, EDGES)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Frame (node, component) of the linked nodes: alternating large and small stars until the edges stay the same.
-    Edges live in checkpointed frames; the driver sees a count and a checksum per round."""
-    spread = lambda e: materialise(e)
-    e = spread(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
+    """Frame (node, component) of the linked nodes. In each round a node's smallest neighbour gives way to the smallest neighbour of that one,
+    tasks join up what they hold, and all smaller neighbours of a node meet in one task; until each node has one and that one none.
+
+    A piece of a task sends a node once, so no node meets more neighbours than there are pieces, and a crowd's smallest node is a key in the
+    join only, where its rows can be split. A round is three shuffles and one stored table, since a shuffle costs files for each of its tasks
+    however few the edges; the driver sees one flag per round."""
+    prepare(edges)
+    e = edges.where("a <> b").select(F.greatest("a", "b").cast("bigint").alias("u"), F.least("a", "b").cast("bigint").alias("v"), F.lit(True).alias("open"))
     while True:
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = spread(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        e = stored(stars(stars(e).repartition("u")))
+        if not e.agg(F.max("open")).first()[0]:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        low = e.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("m"))
+        e = e.join(low, F.col("v") == F.col("of"), "left").select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("open"))

@@ -12,7 +12,7 @@ carry-save adders adds the differences into two counter planes and an overflow p
 abandoned once all overflow, buckets once they hang together. Only a spanning forest leaves a bucket, so no pairs within a group
 are written; copies share one fingerprint.
 
-Components are found over fingerprints in checkpointed frames. A document without an id takes part; a component whose documents
+Components are found over fingerprints in stored frames. A document without an id takes part; a component whose documents
 all lack an id has none.
 """
 

@@ -241,6 +241,37 @@ def test_components_of_a_chain(spark):
     assert all(got[i] == 0 for i in range(1, 300)) and got[1001] == 1000
 
 
+def test_components_of_crowds_and_loops_in_few_tasks(spark, monkeypatch):
+    monkeypatch.setattr(C, "AT_ONCE", 40, raising=False)
+    r = random.Random(6)
+    name = lambda i: (i * 0x9E3779B97F4A7C15 + 1) % 2**64 - 2**63
+    pairs = [(0, i) for i in range(1, 500)] + [(1000 + i, 1999) for i in range(500)] + [(3000 + i, 3000 + (i + 1) % 200) for i in range(200)]
+    pairs += [(4000 + r.randrange(400), 4000 + r.randrange(400)) for _ in range(380)] + [(9000, 9000), (0, 499), (499, 0)]
+    r.shuffle(pairs)
+    want = C.union_find(10_000, *np.array(sorted(pairs)).T)
+    groups = defaultdict(set)
+    for i, root in enumerate(want.tolist()):
+        groups[root].add(name(i))
+    want = {n: min(g) for g in groups.values() if len(g) > 1 for n in g if n != min(g)}
+    sc = spark.sparkContext
+    edges = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], "a long, b long").repartition(16)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        sc.setJobGroup("few-tasks", "")
+        got = C.components(edges)
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("few-tasks")]
+    finally:
+        sc.setJobGroup("", "")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(map(tuple, got.collect())) == sorted(want.items())
+    stages = {s: i.numTasks for j in jobs for s in j.stageIds if (i := sc.statusTracker().getStageInfo(s)) and i.numCompletedTasks}
+    print("TASKS", len(jobs), len(stages), sum(stages.values()))
+    assert sum(stages.values()) < 400  # every task of a shuffle costs files, however few the edges
+
+
 @pytest.fixture(scope="module")
 def encoding():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
